@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from ..plans.store import materialize
+
 #: Frequencies are rates per this many messages, so records of unlike size compare.
 PER = 1000
 
@@ -99,19 +101,16 @@ def topic_word_scores(messages: DataFrame, assignments: DataFrame) -> DataFrame:
     topics = assignments.filter(F.col("topic").isNotNull() & F.col("row_id").isNotNull()).select("row_id", F.col("topic").cast("int").alias("topic"))
     once = messages.select("row_id", "translation").dropDuplicates(["row_id"])
     rows = topics.join(once, "row_id", "left").select("topic", "translation")
-    # one pass: a null term counts the topic's messages, the words count themselves
+    # one pass: an empty term counts the topic's messages, the words count themselves
     counted = rows.select("topic", F.explode(F.concat(F.array(F.lit("")), F.coalesce(words(F.col("translation")), F.array().cast("array<string>")))).alias("term")).groupBy("topic", "term").agg(F.count("*").alias("n_with"))
+    counted = materialize(counted, "p1-counted")
     sizes = counted.filter(F.col("term") == "").select("topic", F.col("n_with").alias("n_topic"))
     per_word = counted.filter(F.col("term") != "")
-    # topic x word counts: the number of topics is small and checked by the broadcast threshold
-    joined = per_word.join(sizes, "topic").withColumn("freq", F.round(F.lit(PER) * F.col("n_with") / F.col("n_topic")).cast("long"))
-    return joined
+    return per_word.join(sizes, "topic").withColumn("freq", F.round(F.lit(PER) * F.col("n_with") / F.col("n_topic")).cast("long"))
 
 
 def p1_table(messages: DataFrame, assignments: DataFrame) -> DataFrame:
-    from ..plans.store import materialize
-
-    counts = materialize(topic_word_scores(messages, assignments), "p1-counts")
+    counts = topic_word_scores(messages, assignments)
     sizes = counts.select("topic", "n_topic").distinct()
     n_topics, n_all = sizes.agg(F.count("*"), F.coalesce(F.sum("n_topic"), F.lit(0))).first()
     scored = two_poisson_scores(counts.filter("freq > 0"), "topic", "term", "freq", n_topics)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("distinctive",)
+MODULES = ("distinctive", "copies")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
