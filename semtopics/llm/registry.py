@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("distinctive", "copies")
+MODULES = ("distinctive", "copies", "clusters")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
