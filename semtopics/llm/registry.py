@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("distinctive", "copies", "clusters", "leaks")
+MODULES = ("distinctive", "copies", "clusters", "leaks", "containers")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
