@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("distinctive", "copies", "clusters", "leaks", "containers", "quality")
+MODULES = ("distinctive", "copies", "clusters", "leaks", "containers", "quality", "languages")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
