@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("distinctive", "copies", "clusters", "leaks", "containers", "quality", "languages")
+MODULES = ("distinctive", "copies", "clusters", "leaks", "containers", "quality", "languages", "sentences")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
