@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("distinctive", "copies", "clusters", "leaks", "containers", "quality", "languages", "sentences")
+MODULES = ("distinctive", "copies", "clusters", "leaks", "containers", "quality", "languages", "sentences", "residue", "markup")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
