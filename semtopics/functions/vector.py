@@ -20,11 +20,18 @@ def norm(a) -> Column:
     return F.sqrt(F.aggregate(as_double(a), F.lit(0.0), lambda s, x: s + x * x))
 
 
+def let(value, fn) -> Column:
+    """``fn`` of a value that is computed once a row (a column inside a lambda would be
+    computed anew for every element)."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def l2_normalize(a, lenient: bool = False) -> Column:
     """Unit vector; a zero vector gives null, or itself with ``lenient``."""
-    n = norm(a)
+    v = as_double(a)
+    n = norm(v)
     by = F.when(n < 1e-12, F.lit(1.0) if lenient else F.lit(None)).otherwise(n)
-    return F.transform(as_double(a), lambda x: x / by)
+    return let(by, lambda d: F.transform(v, lambda x: x / d))
 
 
 def cosine(a, b) -> Column:
@@ -34,11 +41,15 @@ def cosine(a, b) -> Column:
 def blend(segment, document, alpha: float = 0.5) -> Column:
     """What a segment adds to its document, mixed with the document: alpha times the part of the
     unit segment vector orthogonal to the unit document vector, plus 1 - alpha times the latter."""
-    u, d = l2_normalize(segment, True), l2_normalize(document, True)
-    along = dot(u, d)
-    mixed = F.zip_with(u, d, lambda x, y: alpha * (x - along * y) + (1 - alpha) * y)
-    n = norm(mixed)
-    return F.when(n < 1e-8, d).otherwise(F.transform(mixed, lambda x: x / n))
+    vectors = F.struct(l2_normalize(segment, True).alias("u"), l2_normalize(document, True).alias("d"))
+
+    def mix(p: Column) -> Column:
+        return let(dot(p["u"], p["d"]), lambda along: F.zip_with(p["u"], p["d"], lambda x, y: alpha * (x - along * y) + (1 - alpha) * y))
+
+    def unit(p: Column, m: Column) -> Column:
+        return let(norm(m), lambda n: F.when(n < 1e-8, p["d"]).otherwise(F.transform(m, lambda x: x / n)))
+
+    return let(vectors, lambda p: let(mix(p), lambda m: unit(p, m)))
 
 
 def pool(token_embeddings, attention_mask, normalize: bool = True, method: str = "mean") -> Column:
@@ -52,11 +63,10 @@ def pool(token_embeddings, attention_mask, normalize: bool = True, method: str =
         zero = F.transform(F.get(t, F.lit(0)), lambda x: F.lit(0.0))
         total = F.aggregate(pairs, zero, lambda s, p: F.zip_with(s, p["t"], lambda x, y: x + y * p["m"]))
         count = F.greatest(F.aggregate(m, F.lit(0.0), lambda s, x: s + x), F.lit(1e-9))
-        out = F.transform(total, lambda x: x / count)
+        out = let(count, lambda c: F.transform(total, lambda x: x / c))
     if not normalize:
         return out
-    n = F.greatest(norm(out), F.lit(1e-12))
-    return F.transform(out, lambda x: x / n)
+    return let(out, lambda v: let(F.greatest(norm(v), F.lit(1e-12)), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def nearest(vector, centers: list[list[float]]) -> Column:
@@ -64,7 +74,6 @@ def nearest(vector, centers: list[list[float]]) -> Column:
 
     ``centers`` are unit vectors; the expression holds them as literals, so it is for a
     few small centres. Use ``operators.inference.assign`` otherwise."""
-    v = l2_normalize(vector)
-    sims = F.array(*[F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in c]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) for c in centers])
-    best = F.array_max(sims)
-    return F.struct(F.array_position(sims, best).cast("int").alias("topic"), best.alias("similarity"))
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])
+    sims = let(l2_normalize(vector), lambda v: F.transform(table, lambda c: dot(v, c)))
+    return let(sims, lambda s: F.struct(F.array_position(s, F.array_max(s)).cast("int").alias("topic"), F.array_max(s).alias("similarity")))

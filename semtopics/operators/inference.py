@@ -64,6 +64,8 @@ def margins(units: DataFrame, centers: np.ndarray, id_col: str, vector_col: str
     dim = unit.shape[1]
     rows = units.select(id_col, *keep, F.col(vector_col).cast("array<double>").alias("_v"))
 
+    names = [*rows.columns[:-1], "topic", "distance", "margin"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d = np.maximum(0.0, 1.0 - unit_matrix(b.column(b.num_columns - 1), dim) @ unit.T)
@@ -71,7 +73,7 @@ def margins(units: DataFrame, centers: np.ndarray, id_col: str, vector_col: str
             own = d[np.arange(len(d)), at]
             d[np.arange(len(d)), at] = np.inf
             margin = d.min(1) - own if d.shape[1] > 1 else np.full(len(d), np.nan)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array((at + 1).astype(np.int32)), pa.array(own), pa.array(margin, mask=np.isnan(margin))], names=[*rows.columns[:-1], "topic", "distance", "margin"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array((at + 1).astype(np.int32)), pa.array(own), pa.array(margin, mask=np.isnan(margin))], names=names)
 
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
