@@ -272,6 +272,10 @@ class TopicSweep:
     def to_df(self) -> DataFrame:
         return self.spark.createDataFrame(self.rows, self.COLUMNS)
 
+    def __repr__(self) -> str:
+        best = max((r for r in self.rows if r[2] is not None), key=lambda r: r[2], default=None)
+        return f"TopicSweep({len(self.rows)} candidates" + (f", most coherent: {best[1]} topics by {best[0]})" if best else ")")
+
     def fitted(self, n_topics: int, segment: str | None = None) -> TopicModel:
         for (level, k), m in self.models.items():
             if k == n_topics and segment in (None, level):
@@ -296,3 +300,16 @@ def compare_topics(corpora: TopicCorpus | dict[str, TopicCorpus], n_topics=(5, 1
 def select_topics(*args, **kwargs) -> TopicSweep:
     warnings.warn("select_topics() is now compare_topics()", DeprecationWarning, stacklevel=2)
     return compare_topics(*args, **kwargs)
+
+
+def topics(df: DataFrame, n_topics: int = 10, seed_texts=None, encoder=None, **settings) -> TopicModel:
+    """Fit in one call: corpus settings and estimator settings side by side. ``seed_texts`` (a list,
+    or a dict of names to texts or lists of texts) are encoded with ``encoder``."""
+    own = {k: settings.pop(k) for k in ("iter_max", "n_terms", "n_representatives", "min_term_frequency", "weighting", "reduce_frequent_words", "label", "seeds", "seed_names", "fixed_seeds") if k in settings}
+    if seed_texts is not None:
+        if encoder is None:
+            raise NoEmbeddings("seed texts need an encoder")
+        named = seed_texts if isinstance(seed_texts, dict) else {i: t for i, t in enumerate(seed_texts)}
+        texts = [t if isinstance(t, str) else " ".join(t) for t in named.values()]
+        own |= {"seeds": np.asarray(encoder(texts), float), "seed_names": [k if isinstance(k, str) else "" for k in named]}
+    return TopicEstimator(n_topics, **own).fit_corpus(TopicCorpus(df, encoder=encoder, **settings))

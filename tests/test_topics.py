@@ -191,3 +191,25 @@ def test_report(fitted):
     assert report.sizes_report(fitted.topics).count() == 2 and report.terms_report(fitted.terms(5), "beta", 2).count() == 4
     assert len(set(report.topic_palette(5))) == 5 and report.map_points(fitted.assigned, "unit_id", max_points=4).count() == 4
     assert report.map_layout(np.array(VECTORS)).shape == (6, 2)
+
+
+def test_sql_functions(spark):
+    from semtopics.functions import sql
+
+    sql.register(spark)
+    r = spark.sql("SELECT semtopics_content_ratio('A real sentence here.'), semtopics_tokens('Don’t STOP it'), semtopics_cosine(array(1D, 0D), array(3D, 4D)), semtopics_trim(' \t x\n')").first()
+    assert r[0] == pytest.approx(17 / 18) and r[1] == ["don't", "stop", "it"] and r[2] == pytest.approx(0.6) and r[3] == "x"
+
+
+def test_segmented_fit_with_seed_texts(spark):
+    from semtopics.plans.model import topics
+
+    def encoder(texts):
+        return np.array([[sum(t.lower().count(w) for w in ("cat", "mice")) + 0.01, sum(t.lower().count(w) for w in ("stock", "bond")) + 0.02] for t in texts])
+
+    df = spark.createDataFrame([(1, "Cats chase mice. Stocks and bonds fell."), (2, "Bonds rose. Cats slept."), (3, "Mice hid. Stocks rose.")], "document_id long, text string")
+    m = topics(df, 2, seed_texts={"animals": "cats and mice", "money": ["stocks", "bonds"]}, encoder=encoder, fixed_seeds=True, segment="sentence")
+    assert {r.label: r.n_documents for r in m.topics.collect()} == {"animals": 3, "money": 3}
+    assert {(r.document_id, r.topic): r.gamma for r in m.gamma().collect()} == {(d, t): 0.5 for d in (1, 2, 3) for t in (1, 2)}
+    assert {r.n_documents for r in m.sizes(by="document").collect()} == {3}
+    assert m.predict(df, encoder=encoder).count() == 6
