@@ -217,8 +217,17 @@ def train(messages: DataFrame, n_train: int = 2000) -> Profiles:
     translations labelled English (whose few wrong labels a bundle outweighs)."""
     source = messages.select("row_id", language_code(F.col("feedback_lang")).alias("lang"), F.col("feedback").alias("text"))
     english = messages.select("row_id", language_code(F.col("translation_lang")).alias("lang"), F.col("translation").alias("text")).filter("lang = 'en'")
+    labelled = source.unionByName(english).filter("lang is not null and text is not null")
+    # rows of low id hash, half as many again as needed by each language's count, so no task
+    # ever gets more than a sample; the window then takes exactly n_train of them
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # one row per language
+    if not counts:
+        return Profiles({})
+    span = 1 << 30
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(span, int(span * 1.5 * n_train / n) + span // n + 1))])
+    low = labelled.filter(F.pmod(F.xxhash64("row_id"), F.lit(span)) < share[F.col("lang")])
     w = Window.partitionBy("lang").orderBy(F.xxhash64("row_id"), "row_id", "text")
-    sample = source.unionByName(english).filter("lang is not null and text is not null").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n_train)
+    sample = low.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n_train)
     samples: dict[str, list[str]] = {}
     for lang, text in sample.select("lang", "text").orderBy("lang", "r").collect():  # languages x n_train short texts
         samples.setdefault(lang, []).append(text)
