@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.store import materialize
 from .sentences import quoted_spans, sentence_starts
 
 #: Notations whose filling is a variable name, a default or a blank whatever it says.
@@ -65,8 +66,9 @@ _MASK = re.compile(r"\b[0-9a-f]*\d[0-9a-f]*\b", re.I)
 _SPACE = re.compile(r"\s+")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _CODE = re.compile(r"```.*?```|<(pre|code)\b.*?</\1>|\$\$.*?\$\$|\\\(.*?\\\)|\\begin\{(?:equation|align|verbatim)\*?\}.*?\\end\{\w+\*?\}", re.S | re.I)
-#: What any filler unit or embedded notice contains; records without it need no cutting.
-_SUSPECT = re.compile(r"\b(?:" + "|".join(sorted(LOREM - {"sit", "sed", "minim", "culpa", "anim", "cras", "integer"})) + r")\b|\bx{2,}|\btest test|\basdf|\bqwerty|\bbla\b|\bfoo\b|text goes here|abstract (?:is )?(?:not )?available|text text")
+#: What every slot contains, and what embedded notices and filler contain besides pseudo-Latin words.
+_SLOT_SIGN = re.compile(r"[{$%<\[#]|__|X[X.,]|TODO|FIXME|TB[DA]")
+_SUSPECT = ("text goes here", "abstract", "xx", "test test", "asdf", "qwerty", "bla", "foo", "text text")
 MAX_PAGE_WORDS = 45
 
 
@@ -114,7 +116,8 @@ def signs(text: str) -> list[tuple[str, str, str, bool]]:
         elif WEAK_PAGE.search(plain):
             out.append(("page", template(plain), "", False))
     low = plain.lower()
-    if not (STRONG_SLOT.search(masked) or WEAK_SLOT.search(masked) or _SUSPECT.search(low)):
+    slots = _SLOT_SIGN.search(masked) and (STRONG_SLOT.search(masked) or WEAK_SLOT.search(masked))
+    if not slots and not any(x in low for x in _SUSPECT) and LOREM.isdisjoint(w.strip(".,;:!?") for w in low.split()):
         return out
     units = [masked[a:b] for a, b in sentence_starts(masked)]
     filler = sum(len(u) for u in units if filler_share(u) >= 0.6)
@@ -145,7 +148,7 @@ def residue(records: DataFrame, id_col: str, text_col: str, min_records: int = 3
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kind, pa.string()), pa.array(form, pa.string()), pa.array(filling, pa.string()), pa.array(strong, pa.bool_())], names=["id", "kind", "template", "filling", "strong"])
 
     rows = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    units = rows.mapInArrow(run, f"id {id_type}, kind string, template string, filling string, strong boolean")
+    units = materialize(rows.mapInArrow(run, f"id {id_type}, kind string, template string, filling string, strong boolean"), "residue")
     units = units.groupBy("id", "kind", "template").agg(F.min("filling").alias("filling"), F.max("strong").alias("strong"))
     by_filling = units.groupBy("kind", "template", "filling").agg(F.count("*").alias("n"), F.max("strong").alias("strong"))
     forms = by_filling.groupBy("kind", "template").agg(F.sum("n").alias("n_records"), F.count("*").alias("n_fillings"), F.max("strong").alias("any_strong"))

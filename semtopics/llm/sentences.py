@@ -51,6 +51,7 @@ _TERM = "!?…‼⁇⁈⁉！？。।॥؟۔܀܁܂։።፧፨᠃᠉။၊។៕
 _CANDIDATE = re.compile(rf"[{_STOP}{re.escape(_TERM)}]+")
 _CLOSERS = "\"'”’»)]}›」』】）〉》＂"
 _PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "‹": "›", "《": "》", '"': '"'}
+_OPENER = re.compile("[" + "".join(_PAIRS) + "]")
 _LINE = re.compile(r"\n[ \t]*\n\s*|\n(?=[ \t]*(?:[-*+•–·]\s|#{1,6}\s|\d{1,3}[.)]\s|={2,}|\||[^\W\d_]+ ?: ))")
 _SPACELESS = "฀-๿຀-໿ក-៿"
 _SPACELESS_BREAK = re.compile(rf"(?<=[{_SPACELESS}])[  \t\n]+(?=[{_SPACELESS}])")
@@ -60,25 +61,26 @@ _TOKEN = re.compile(r"[^\s(\[{\"“«„「『]+$")
 
 def quoted_spans(text: str) -> list[tuple[int, int]]:
     """(start, end) of outermost quotations whose marks pair up within a paragraph."""
-    spans, i, n = [], 0, len(text)
-    while i < n:
-        close = _PAIRS.get(text[i])
-        if close:
-            limit = text.find("\n\n", i)
-            limit = n if limit < 0 else limit
-            depth_open, ends = text[i], [text.find(c, i + 1, limit) for c in close]
-            ends = [e for e in ends if e >= 0]
-            if ends:
-                end = min(ends)
-                if depth_open in "“«「" and depth_open in text[i + 1 : end]:  # nested quotation of the same kind
-                    depth, j = 1, i + 1
-                    while j < limit and depth:
-                        depth += (text[j] == depth_open) - (text[j] in close)
-                        j += 1
-                    end = j - 1 if not depth else end
-                spans.append((i, end))
-                i = end
-        i += 1
+    spans, n = [], len(text)
+    m = _OPENER.search(text)
+    while m:
+        i = m.start()
+        close = _PAIRS[text[i]]
+        limit = text.find("\n\n", i)
+        limit = n if limit < 0 else limit
+        depth_open, ends = text[i], [text.find(c, i + 1, limit) for c in close]
+        ends = [e for e in ends if e >= 0]
+        if ends:
+            end = min(ends)
+            if depth_open in "“«「" and depth_open in text[i + 1 : end]:  # nested quotation of the same kind
+                depth, j = 1, i + 1
+                while j < limit and depth:
+                    depth += (text[j] == depth_open) - (text[j] in close)
+                    j += 1
+                end = j - 1 if not depth else end
+            spans.append((i, end))
+            i = end
+        m = _OPENER.search(text, i + 1)
     return spans
 
 
