@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMENSIONS = 8192
-SWITCH = 0.4
+SWITCH = 0.37
 #: ISO 639-2 codes of the languages met here, by 639-1 code.
 THREE_LETTER = {"ces": "cs", "cze": "cs", "deu": "de", "ger": "de", "eng": "en", "hun": "hu", "mon": "mn", "pol": "pl", "ron": "ro", "rum": "ro", "rus": "ru", "slk": "sk", "slo": "sk", "ukr": "uk", "vie": "vi"}
 #: Cyrillic letters and the Latin letters they look like.
