@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions import vector as vec
-from .functions.words import PLACEHOLDERS, STOP_WORDS_EN
+from .functions.words import ABBREVIATIONS, PLACEHOLDERS, STOP_WORDS_EN
 from .operators import cluster, corpus, evaluate, hierarchy, inference, keywords, similarity
 from .operators import terms as term_ops
 from .operators.encode import encode
@@ -135,23 +135,28 @@ def strip_list_markers(spark, sf_dir):
 # ---------------------------------------------------------------- segments
 
 
-@query(
-    # the sentence rules without look-around, on texts free of brackets, abbreviations and decimals
-    r"""WITH n AS (SELECT row_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translation, '[\x{2018}\x{2019}\x{201B}\x{2032}]', '''', 'g'), '[\x{201C}\x{201D}]', '"', 'g'), '[\x{2013}\x{2014}]', ' - ', 'g'), '\s+', ' ', 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS t
-     FROM (SELECT DISTINCT row_id, translation FROM feedback_translations) WHERE translation IS NOT NULL),
-    p AS (SELECT row_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '([.?!])\s+', '\1@@', 'g'), '(\p{Ll}[.?!])(\p{Lu})', '\1@@\2', 'g'), '@@'), lambda x: regexp_replace(x, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')), lambda x: x <> '' AND regexp_matches(x, '[\p{L}\p{N}]')) AS ps
-     FROM n WHERE NOT regexp_matches(t, '[()]|[0-9]\.[0-9]|@') AND NOT regexp_matches(t, '(?i)\b(e\.g|i\.e|et al|vs|cf|fig|figs|eq|eqs|no|nos|vol|pp|dr|prof|st|ref|refs|u\.s|u\.k|ph\.d|m\.sc|b\.sc|approx)\.'))
-    SELECT row_id, CAST(i AS INTEGER) AS segment, ps[i] AS text FROM p, range(1, 1 + len(ps)) r(i)"""
-)
-def segment_sentences_plain(spark, sf_dir):
-    m = _read(spark, sf_dir, "feedback_translations").select("row_id", "translation").distinct().filter("translation is not null")
-    from .functions.segments import normalize
-    from .functions.words import ABBREVIATIONS
-
-    t = normalize("translation")
-    stops = "|".join(a[:-1].replace(".", r"\.").lower() for a in ABBREVIATIONS)
-    plain = m.filter(~t.rlike(r"[()]|[0-9]\.[0-9]|@") & ~t.rlike(rf"(?i)(?<![A-Za-z0-9_])({stops})\."))
-    return corpus.segment(plain, "row_id", "translation", "sentence")
+def _sentence_sql() -> str:
+    """The sentence rules without look-around: periods that end nothing are hidden step by step."""
+    dot = chr(0xE001)
+    t = "translation"
+    for p, by in ((r"[\x{2018}\x{2019}\x{201B}\x{2032}]", "''"), (r"[\x{201C}\x{201D}]", '"'), (r"[\x{2013}\x{2014}]", " - "), (r"\s+", " "), (r"^[ \t\r\n]+|[ \t\r\n]+$", "")):
+        t = f"regexp_replace({t}, '{p}', '{by}', 'g')"
+    for _ in range(8):  # at most eight periods inside one pair of brackets in these tables
+        t = f"regexp_replace({t}, '(\\([^().]*)\\.([^()]*\\))', '\\1{dot}\\2', 'g')"
+    for a in ABBREVIATIONS:
+        parts = a[:-1].split(".")
+        t = f"regexp_replace({t}, '(?i)\\b" + r"\.".join(f"({p})" for p in parts) + r"\.', '" + "".join(f"\\{i + 1}{dot}" for i in range(len(parts))) + "', 'g')"
+    for _ in range(2):
+        t = f"regexp_replace({t}, '([0-9])\\.([0-9])', '\\1{dot}\\2', 'g')"
+    t = rf"regexp_replace(regexp_replace({t}, '([.?!])\s+', '\1@@', 'g'), '(\p{{Ll}}[.?!])(\p{{Lu}})', '\1@@\2', 'g')"
+    parts = rf"list_filter(list_transform(string_split({t}, '@@'), lambda x: replace(regexp_replace(x, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), '{dot}', '.')), lambda x: x <> '' AND regexp_matches(x, '[\p{{L}}\p{{N}}]'))"
+    return f"WITH p AS (SELECT row_id, {parts} AS ps FROM (SELECT DISTINCT row_id, translation FROM feedback_translations) WHERE translation IS NOT NULL) SELECT row_id, CAST(i AS INTEGER) AS segment, ps[i] AS text FROM p, range(1, 1 + len(ps)) r(i)"
+
+
+@query(_sentence_sql())
+def segment_messages(spark, sf_dir):
+    m = _read(spark, sf_dir, "feedback_translations").select("row_id", "translation").distinct()
+    return corpus.segment(m, "row_id", "translation", "sentence")
 
 
 @query()
