@@ -12,8 +12,8 @@ Quotations are masked first, so text that quotes a placeholder or a message is l
 and marks of LaTeX, wiki and Markdown are no slots.
 
 Plan: one Arrow pass keeps only units with a sign (few), one group-by on their template
-counts records and fillings, and the counts join back by template; hot templates are safe as
-both sides are combined first. Edge cases: null and blank texts are no cases; an empty table
+counts records and fillings, and the counts join back by template; hot ones by
+broadcast (fewer than 1000 by their share). Edge cases: null and blank texts are no cases; an empty table
 gives an empty result; repeated rows count once per id; other columns are not read.
 """
 
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import join_unique
 from ..plans.store import materialize
 from .sentences import quoted_spans, sentence_starts
 
@@ -148,12 +149,15 @@ def residue(records: DataFrame, id_col: str, text_col: str, min_records: int = 3
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kind, pa.string()), pa.array(form, pa.string()), pa.array(filling, pa.string()), pa.array(strong, pa.bool_())], names=["id", "kind", "template", "filling", "strong"])
 
     rows = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    units = materialize(rows.mapInArrow(run, f"id {id_type}, kind string, template string, filling string, strong boolean"), "residue")
-    units = units.groupBy("id", "kind", "template").agg(F.min("filling").alias("filling"), F.max("strong").alias("strong"))
+    signed = materialize(rows.mapInArrow(run, f"id {id_type}, kind string, template string, filling string, strong boolean"), "residue")
+    units = signed.groupBy("id", "kind", "template").agg(F.min("filling").alias("filling"), F.max("strong").alias("strong"))
     by_filling = units.groupBy("kind", "template", "filling").agg(F.count("*").alias("n"), F.max("strong").alias("strong"))
     forms = by_filling.groupBy("kind", "template").agg(F.sum("n").alias("n_records"), F.count("*").alias("n_fillings"), F.max("strong").alias("any_strong"))
     agreed = F.col("any_strong") | ((F.col("n_records") >= min_records) & (F.col("n_fillings") == 1))
-    return units.join(forms.filter(agreed), ["kind", "template"]).select("id", "kind", "template", "n_records", "n_fillings")
+    # a template may hold a large share of the records ("N/A"): hot ones are joined by broadcast
+    key = F.struct("kind", "template").alias("k")
+    held = join_unique(units.select("id", key), forms.filter(agreed).select(key, "n_records", "n_fillings"), "k", "n_records", signed.count())
+    return held.select("id", F.col("k.kind").alias("kind"), F.col("k.template").alias("template"), "n_records", "n_fillings")
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
