@@ -139,4 +139,13 @@ def p1_topic_terms(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_topic_terms": p1_topic_terms}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_found": r"""
+WITH m AS (SELECT DISTINCT row_id, translation FROM feedback_translations),
+r AS (SELECT CAST(a.topic AS INTEGER) AS topic, a.row_id, m.translation FROM document_assignments a LEFT JOIN m USING (row_id) WHERE a.topic IS NOT NULL),
+s AS (SELECT topic, count(*) AS n FROM r GROUP BY topic), total AS (SELECT sum(n) AS n_all FROM s),
+w AS (SELECT topic, row_id, unnest(list_distinct(regexp_extract_all(lower(translation), '\p{L}+'))) AS term FROM r),
+c AS (SELECT topic, term, count(*) AS n_with FROM w GROUP BY topic, term), e AS (SELECT term, sum(n_with) AS n_any FROM c GROUP BY term)
+SELECT topic, term FROM c JOIN s USING (topic) JOIN e USING (term), total
+WHERE n_with * 10 >= n AND n_with * (n_all - n) >= 10 * (n_any - n_with) * n"""
+}

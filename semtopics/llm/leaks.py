@@ -179,4 +179,11 @@ def p9_matches(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_matches": p9_matches}
-SQL: dict[str, str] = {}
+_SQL_WORDS = r"regexp_extract_all(lower(regexp_replace(text, '(\p{L})-[ \t]*\r?\n[ \t]*(\p{L})', '\1\2', 'g')), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*')"
+SQL: dict[str, str] = {
+    "p9_found": f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, {_SQL_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, hash(w[i : i + 11]) AS h, w[i : i + 11] AS g FROM d, range(1, len(w) - 10) r(i)),
+ew AS (SELECT item_id, hash(w[i : i + 11]) AS h, w[i : i + 11] AS g FROM e, range(1, len(w) - 10) r(i))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN ew ON dw.h = ew.h AND dw.g = ew.g"""
+}
