@@ -164,4 +164,14 @@ def p5_messages(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_messages": p5_messages}
-SQL: dict[str, str] = {}
+_SQL_BREAKS = r"\r\n\x0b\x0c\x{85}\x{2028}\x{2029}"
+SQL: dict[str, str] = {
+    "p5_found": rf"""
+WITH o AS (SELECT DISTINCT row_id, translation FROM feedback_translations WHERE translation IS NOT NULL AND row_id IS NOT NULL),
+f AS (SELECT row_id, replace(lower(regexp_replace(regexp_replace(nfc_normalize(translation), '[\x{{AD}}\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FE0E}}\x{{FE0F}}\x{{FEFF}}]', '', 'g'), '[\t\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}]', ' ', 'g')), 'ß', 'ss') AS t FROM o),
+b AS (SELECT row_id, t, CASE WHEN regexp_matches(t, '^[^\p{{L}}\p{{N}}]*\p{{L}}+ *:') THEN string_split(regexp_replace(t, '[ ;|{_SQL_BREAKS}]*[;|{_SQL_BREAKS}][ ;|{_SQL_BREAKS}]*(\p{{L}}+ *:)', chr(31) || '\1', 'g'), chr(31)) END AS parts FROM f WHERE regexp_matches(t, '[^ {_SQL_BREAKS}]')),
+k AS (SELECT row_id, regexp_replace(t, '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g') AS s, CASE WHEN len(parts) >= 2 THEN array_to_string(list_sort(list_filter(list_transform(parts, lambda x: regexp_replace(x, '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g')), lambda x: x <> '')), chr(31)) END AS p FROM b),
+a AS (SELECT s, min(p) AS p FROM k WHERE p IS NOT NULL GROUP BY s),
+c AS (SELECT row_id, min(row_id) OVER (PARTITION BY coalesce(a.p, k.p, k.s)) AS first_row_id FROM k LEFT JOIN a USING (s))
+SELECT first_row_id, row_id FROM c WHERE row_id <> first_row_id"""
+}
