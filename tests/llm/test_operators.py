@@ -128,6 +128,19 @@ def test_markup_clean(spark):
     assert markup.clean_markup(df.limit(0), "ut", "ab").count() == 0
 
 
+def test_markup_paths_decide(spark):
+    menu = "<div><nav>" + "".join(f'<a href="https://x.invalid/section/{k}/page.html">p{k}</a>' for k in range(9)) + "</nav></div>"
+    body = '<p>The pupils, as <a href="https://x.invalid/1">they said</a>, explained the task to each other. It went well.</p>'
+    df = spark.createDataFrame([("a", menu + body), ("b", body * 3), ("c", "<pre><code>x &lt; 1</code></pre> and <b>more</b>.")], "ut string, ab string")
+    out = {r.id: r.clean_text for r in markup.clean_markup(df, "ut", "ab").collect()}
+    assert out["a"] == "The pupils, as they said, explained the task to each other. It went well."
+    assert out["b"].count("as they said,") == 3 and out["c"].split() == "x < 1 and more.".split()
+    sums = markup.path_sums("<ul><li>one<li>two **three**</ul>rest")
+    assert {p: s[1] for p, s in sums.items()} == {"text": 4, "text/html:ul": 0, "text/html:ul/html:li": 7, "text/html:ul/html:li/markdown:strong": 5}
+    low = markup.content_paths([("text", 9, 9000, 200, 0), ("text/markdown:heading", 9, 90, 0, 40), ("text/html:h2", 9, 10, 0, 20_000)])
+    assert low == {"text": True, "text/markdown:heading": True, "text/html:h2": False}
+
+
 # ------------------------------------------------------------------ 5
 
 
