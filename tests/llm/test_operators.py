@@ -128,6 +128,11 @@ def test_markup_clean(spark):
     assert markup.clean_markup(df.limit(0), "ut", "ab").count() == 0
 
 
+def test_markup_kinds_frame(spark):
+    df = spark.createDataFrame([("a", "a <b>bold</b> **word**"), ("b", "plain"), ("c", None), ("d", "![](x.png) <hr>")], "ut string, ab string")
+    assert {tuple(r) for r in markup.markup_kinds(df, "ut", "ab").collect()} == {("a", "html"), ("a", "markdown"), ("d", "html"), ("d", "markdown")}
+
+
 def test_markup_paths_decide(spark):
     menu = "<div><nav>" + "".join(f'<a href="https://x.invalid/section/{k}/page.html">p{k}</a>' for k in range(9)) + "</nav></div>"
     body = '<p>The pupils, as <a href="https://x.invalid/1">they said</a>, explained the task to each other. It went well.</p>'
