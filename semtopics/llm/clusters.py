@@ -1,14 +1,16 @@
 """Problem 2: clusters of mutually similar records by Markov clustering.
 
-Plan. (1) A bounded sample of ``n_nodes`` records (those of lowest id hash) become pivots;
-every record joins its nearest pivot's cell and one pass sums the vectors of each cell.
+Plan. (1) ``n_nodes`` records (those of lowest id hash) become pivots; then, pass by pass,
+records less similar than ``cover`` to every pivot become pivots too, until there are none, so
+a small group away from the others owns a pivot however small its share is. Every record joins
+its nearest pivot's cell and one pass sums the vectors of each cell.
 (2) The cells' mean vectors are the nodes of a similarity graph (edges of cosine at least
 ``min_similarity``, weighted by the cells' sizes). (3) Markov clustering on it: the
 column-stochastic flow matrix, kept as (i, j, v) rows, is squared by a distributed join and
 group-by, inflated and pruned until it settles. Attractor rows define the clusters; columns
 follow their strongest flow. (4) Every record is placed with the nearest cluster mean. So the
-work on records is linear and free of shuffles, while the graph's size is a parameter that
-does not grow with the data; vectors never move, only (id, cluster, distance) rows do.
+work on records is linear and free of shuffles, while the graph's size follows the spread of
+the vectors, not their number; only pivots' vectors move, and (id, cluster, distance) rows.
 
 Edge cases: null, ragged, non-finite and zero vectors have no direction and give no rows; a
 record delivered twice counts once in the result; ties go to the lower cluster number;
@@ -84,8 +86,42 @@ def place(vectors: DataFrame, id_col: str, centres: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(run, f"{id_col} long, cluster int, distance double")
 
 
-def similarity_graph(spark, nodes: np.ndarray, sizes: np.ndarray, min_similarity: float, max_degree: int) -> DataFrame:
-    """(i, j, v) edges of the node graph, with loops; each node keeps its ``max_degree`` strongest."""
+def uncovered(vectors: DataFrame, id_col: str, pivots: np.ndarray, cover: float, n: int) -> list:
+    """The ``n`` usable rows of lowest id hash among those less similar than ``cover`` to every
+    pivot, as (id, hash, embedding); each partition sends its own ``n`` lowest at most."""
+    dim = pivots.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows, x = _unit_rows(batch, dim)
+            far = rows[_nearest(x, pivots)[1] < cover]
+            part = pa.Table.from_batches([batch.take(pa.array(far))])
+            held = part if held is None else pa.concat_tables([held, part])
+            if len(held) > n:
+                held = held.take(pc.select_k_unstable(held, n, sort_keys=[("h", "ascending"), (id_col, "ascending")]))
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    hashed = vectors.select(id_col, "embedding", F.xxhash64(id_col).alias("h"))
+    return hashed.mapInArrow(run, hashed.schema).orderBy("h", id_col).limit(n).collect()  # at most n rows
+
+
+def covering_pivots(vectors: DataFrame, id_col: str, pivots: np.ndarray, cover: float, n: int) -> np.ndarray:
+    """``pivots`` and as many more as it takes for every usable row to have one of at least ``cover``."""
+    while rows := uncovered(vectors, id_col, pivots, cover, n):
+        more = np.array([r.embedding for r in rows], np.float32)
+        more /= np.linalg.norm(more.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
+        added: list[np.ndarray] = []
+        for x in more:
+            if not added or (np.array(added) @ x).max() < cover:
+                added.append(x)
+        pivots = np.concatenate([pivots, np.array(added)])
+    return pivots
+
+
+def similarity_graph(spark, nodes: np.ndarray, sizes: np.ndarray, min_similarity: float) -> DataFrame:
+    """(i, j, v) edges of the node graph, with loops: every pair of at least ``min_similarity``."""
     units = (nodes / np.maximum(np.linalg.norm(nodes, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     mass = np.sqrt(sizes / sizes.max())
 
@@ -95,8 +131,8 @@ def similarity_graph(spark, nodes: np.ndarray, sizes: np.ndarray, min_similarity
             sim = units @ units[cols].T
             for k, j in enumerate(cols):
                 s = sim[:, k]
-                near = np.argsort(-s, kind="stable")[: max_degree + 1]
-                near = near[(s[near] >= min_similarity) & (near != j)]
+                near = np.flatnonzero(s >= min_similarity)
+                near = near[near != j]
                 i = np.append(near, j).astype(np.int64)
                 v = np.append(s[near] * mass[near], mass[j]).astype(float)
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.full(len(i), j, np.int64)), pa.array(v)], names=["i", "j", "v"])
@@ -104,21 +140,20 @@ def similarity_graph(spark, nodes: np.ndarray, sizes: np.ndarray, min_similarity
     return spark.range(len(nodes)).mapInArrow(run, "i long, j long, v double")
 
 
-def markov_clusters(edges: DataFrame, inflation: float = 1.6, prune: float = 1e-3, max_entries: int = 64, max_iterations: int = 24) -> DataFrame:
+def markov_clusters(edges: DataFrame, inflation: float = 1.6, prune: float = 1e-2, max_iterations: int = 24) -> DataFrame:
     """Markov clustering of a weighted graph (i, j, v): (node, attractor, flow).
 
     Each step squares the flow matrix by a join on the inner index, raises its entries to
-    ``inflation``, drops entries under ``prune`` (and beyond the ``max_entries`` largest of a
-    column, the usual bound of MCL's memory) and rescales the columns. It ends when every
-    column is all but idempotent."""
+    ``inflation``, drops entries under ``prune`` of their column's largest (a share, so that
+    columns with many equal entries keep them all) and rescales the columns. It ends when
+    every column is all but idempotent."""
     column = Window.partitionBy("j")
     flow = edges.withColumn("v", F.col("v") / F.sum("v").over(column))
     flow = materialize(flow, "mcl")
     for _ in range(max_iterations):
         a, b = flow.select("i", F.col("j").alias("k"), F.col("v").alias("va")), flow.select(F.col("i").alias("k"), "j", F.col("v").alias("vb"))
         square = a.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("va") * F.col("vb")).alias("v"))
-        best = square.withColumn("rank", F.row_number().over(column.orderBy(F.desc("v"), "i")))
-        blown = best.filter((F.col("rank") == 1) | ((F.col("v") >= prune) & (F.col("rank") <= max_entries))).withColumn("v", F.pow("v", F.lit(inflation)))
+        blown = square.withColumn("top", F.max("v").over(column)).filter(F.col("v") >= prune * F.col("top")).withColumn("v", F.pow("v", F.lit(inflation)))
         blown = blown.withColumn("v", F.col("v") / F.sum("v").over(column)).select("i", "j", "v")
         older, flow = flow, materialize(blown, "mcl")
         chaos = flow.groupBy("j").agg((F.max("v") - F.sum(F.col("v") * F.col("v"))).alias("c")).agg(F.max("c")).first()[0]
@@ -141,10 +176,11 @@ def markov_clusters(edges: DataFrame, inflation: float = 1.6, prune: float = 1e-
     return strongest.join(system, "i", "left").select(F.col("j").alias("node"), F.coalesce("system", "i").alias("attractor"), F.col("v").alias("flow"))
 
 
-def cluster_vectors(vectors: DataFrame, id_col: str, vector_col: str, n_nodes: int = 512, min_similarity: float = 0.6, inflation: float = 1.6) -> DataFrame:
+def cluster_vectors(vectors: DataFrame, id_col: str, vector_col: str, n_nodes: int = 512, min_similarity: float = 0.6, inflation: float = 1.6, cover: float = 0.7) -> DataFrame:
     """(id, cluster, distance): each record's cluster and its cosine distance to the cluster's mean.
 
-    ``n_nodes`` bounds the sample of pivots and so the graph; all rows are placed."""
+    ``n_nodes`` pivots are sampled, and ``n_nodes`` at most added a pass until every row has one
+    of similarity ``cover``; all rows are placed."""
     spark = vectors.sparkSession
     vectors = vectors.select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).alias("embedding")).filter(F.col(id_col).isNotNull() & F.col("embedding").isNotNull())
     usable = vectors.filter((F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("embedding", lambda x: x != 0))
@@ -158,15 +194,16 @@ def cluster_vectors(vectors: DataFrame, id_col: str, vector_col: str, n_nodes: i
     dim = max(set(dims), key=dims.count)
     pivots = np.array([r.embedding for r in {r[id_col]: r for r in sample}.values() if len(r.embedding) == dim], np.float32)
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    pivots = covering_pivots(usable, id_col, pivots, cover, n_nodes)
     totals = np.zeros(pivots.shape)
     sizes = np.zeros(len(pivots))
-    for cell, d, total, n in cell_sums(vectors, pivots).collect():  # n_nodes x dim numbers
+    for cell, d, total, n in cell_sums(vectors, pivots).collect():  # pivots x dim numbers
         totals[cell, d], sizes[cell] = total, n
     used = np.flatnonzero(sizes)
     totals, sizes = totals[used], sizes[used]
-    edges = similarity_graph(spark, totals / sizes[:, None], sizes, min_similarity, 64)
+    edges = similarity_graph(spark, totals / sizes[:, None], sizes, min_similarity)
     label = np.arange(len(used))
-    for node, attractor, _ in markov_clusters(edges, inflation).collect():  # one row per node of the bounded graph
+    for node, attractor, _ in markov_clusters(edges, inflation).collect():  # one row per pivot
         label[node] = attractor
     label = label[label]  # an attractor that follows a stronger one takes its members along
     means = np.array([totals[label == k].sum(0) for k in np.unique(label)])
@@ -184,7 +221,7 @@ def placed_documents(spark, sf_dir: str) -> DataFrame:
     votes = rows.filter("stored is not null").groupBy("cluster", "stored").agg(F.count("*").alias("n"))
     first = Window.partitionBy("cluster").orderBy(F.desc("n"), "stored")
     topic_of = votes.withColumn("r", F.row_number().over(first)).filter("r = 1").select("cluster", F.col("stored").alias("topic"))
-    return rows.join(F.broadcast(topic_of), "cluster")  # one row per cluster, at most n_nodes
+    return rows.join(F.broadcast(topic_of), "cluster")  # one row per cluster
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:

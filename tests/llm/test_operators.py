@@ -73,6 +73,24 @@ def test_markov_clusters(spark):
     assert {(r.cluster, round(r.distance, 5)) for r in one} == {(0, 0.0)}
 
 
+def test_small_groups_keep_their_cluster(spark):
+    rng = np.random.default_rng(7)
+    centres = np.eye(8) * 3
+    rows = [(k * 1000 + i, (centres[k] + rng.normal(size=8) * 0.2).tolist()) for k, n in enumerate((900, 900, 3, 2, 3, 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "document_id long, e array<float>")
+    group = defaultdict(set)
+    for r in clusters.cluster_vectors(df, "document_id", "e", n_nodes=16).collect():
+        group[r.document_id // 1000].add(r.cluster)
+    assert all(len(v) == 1 for v in group.values()) and len(set.union(*group.values())) == 6
+
+
+def test_mcl_prunes_by_value_only(spark):
+    n = 200  # more equal entries a column than any fixed number of places
+    edges = [(i, j, 1.0) for i in range(n) for j in range(n)]
+    out = clusters.markov_clusters(spark.createDataFrame(edges, "i long, j long, v double"), max_iterations=1)
+    assert {round(r.flow, 9) for r in out.collect()} == {1 / n}
+
+
 def test_mcl_on_two_cliques(spark):
     edges = [(i, j, 1.0) for block in ((0, 1, 2), (3, 4, 5)) for i in block for j in block] + [(2, 3, 0.05), (3, 2, 0.05)]
     out = {r.node: r.attractor for r in clusters.markov_clusters(spark.createDataFrame(edges, "i long, j long, v double"), inflation=2.0).collect()}
