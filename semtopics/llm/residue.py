@@ -8,6 +8,8 @@ or a blank: by its notation ({{x}}, ${x}, %x%, <%= x %>, [INSERT X], <add x>, __
 or, in the weaker bracket notation, when the same filling stands in every record of the
 template or the unit has several such slots. Pages are residue when they match an
 error-page, notice or filler template; weak signs need a template repeated in several records.
+Every unit of every record is tested for notices, whatever the record's length; one that
+reports on a notice in running prose (``_REPORT``) is left alone.
 Quotations are masked first, so text that quotes a placeholder or a message is left alone,
 and marks of LaTeX, wiki and Markdown are no slots.
 
@@ -70,7 +72,16 @@ _CODE = re.compile(r"```.*?```|<(pre|code)\b.*?</\1>|\$\$.*?\$\$|\\\(.*?\\\)|\\b
 #: What every slot contains, and what embedded notices and filler contain besides pseudo-Latin words.
 _SLOT_SIGN = re.compile(r"[{$%<\[#]|__|X[X.,]|TODO|FIXME|TB[DA]")
 _SUSPECT = ("text goes here", "abstract", "xx", "test test", "asdf", "qwerty", "bla", "foo", "text text")
-MAX_PAGE_WORDS = 45
+#: Words of one who reports on a notice, and of a notice that turns to its reader.
+_REPORT = re.compile(r"\b(?:was|were|had|we|our|they|their|pupils?|students?|learners?|participants|teachers?|users|respondents|child(?:ren)?|class(?:es)?|classrooms?|schools?|study|studies|authors?|showed|reported|found that|confused|typed|among|messages?|wurden?|hatten?|wir|schüler\w*)\b", re.I)
+_ADDRESS = re.compile(r"\b(?:please|you|your|sorry|(?:this|the) (?:page|site|website|record|article|server|request|url|browser)|bitte|sie|diese seite)\b", re.I)
+_WORDS = re.compile(r"[^\W\d_]+")
+#: Words of which STRONG_PAGE and WEAK_PAGE need one (or "error", "exception", "pointer" in a word).
+_HINTS = frozenset(
+    "n na nan null none nil undefined unknown tbd tba tbc todo added announced completed done supplied available unavailable missing empty abstract summary description kein keine zusammenfassung provided javascript script scripts cookie cookies java aktivieren browser accept found gateway forbidden fehler exist exists longer moved gefunden server service denied permission requests request blocked session something please administrator traceback loading wait text title goes here reload redirect captcha record expired unbekannt".split()
+)
+#: A page with fewer weak signs than one in so many words has to address its reader.
+WEAK_SHARE = 6
 
 
 def mask_quotations(text: str) -> str:
@@ -103,6 +114,38 @@ def filler_share(text: str) -> float:
     return max(latin if len(words) >= 3 else 0.0, dull if len(words) >= 3 else 0.0)
 
 
+def reports(unit: str) -> bool:
+    """Whether a unit speaks of things in running prose; the words of the notice itself don't count."""
+    return bool(_REPORT.search(STRONG_PAGE.sub(" ", unit)))
+
+
+def notice(unit: str) -> bool:
+    """Whether a unit is a notice: it opens with one or addresses its reader, and doesn't report."""
+    m = STRONG_PAGE.search(unit)
+    return bool(m) and (len(unit[: m.start()].split()) <= 3 or bool(_ADDRESS.search(unit))) and not reports(unit)
+
+
+def hints(low: str) -> bool:
+    """Whether a text in lower case holds a word without which no page sign can match."""
+    return "error" in low or "exception" in low or "pointer" in low or not _HINTS.isdisjoint(_WORDS.findall(low))
+
+
+def pages(plain: str, masked: str, units: list[str]) -> list[tuple[str, str, str, bool]]:
+    """Page signs of a record: the whole record where none of its units is prose, else every unit
+    that is a notice, at any length of the record."""
+    marked = [u for u in units if hints(u.lower())]
+    strong = [u for u in marked if STRONG_PAGE.search(u)]
+    if len(strong) * 2 >= len(units) and not any(reports(u) for u in units) and (STRONG_PAGE.search(plain) or STRONG_PAGE.search(masked)):
+        return [("page", template(plain), "", True)]
+    found = [("page", template(u), "", True) for u in strong if notice(u)]
+    if found:
+        return found
+    weak = [(u, len(WEAK_PAGE.findall(u))) for u in marked]
+    if sum(n for _, n in weak) * WEAK_SHARE >= len(plain.split()) and not any(reports(u) for u in units):
+        return [("page", template(plain), "", False)]
+    return [("page", template(u), "", False) for u, n in weak if n and _ADDRESS.search(u) and not reports(u)]
+
+
 def signs(text: str) -> list[tuple[str, str, str, bool]]:
     """(kind, template, filling, strong) of the units of a record that look like residue."""
     if not text or not text.strip():
@@ -110,17 +153,17 @@ def signs(text: str) -> list[tuple[str, str, str, bool]]:
     out = []
     masked = mask_quotations(text)
     plain = _SPACE.sub(" ", _TAG.sub(" ", masked)).strip()
-    words = plain.split()
-    if len(words) <= MAX_PAGE_WORDS:
-        if STRONG_PAGE.search(plain) or STRONG_PAGE.search(masked):
-            out.append(("page", template(plain), "", True))
-        elif WEAK_PAGE.search(plain):
-            out.append(("page", template(plain), "", False))
     low = plain.lower()
     slots = _SLOT_SIGN.search(masked) and (STRONG_SLOT.search(masked) or WEAK_SLOT.search(masked))
-    if not slots and not any(x in low for x in _SUSPECT) and LOREM.isdisjoint(w.strip(".,;:!?") for w in low.split()):
+    suspect = any(x in low for x in _SUSPECT) or not LOREM.isdisjoint(w.strip(".,;:!?") for w in low.split())
+    hinted = hints(low)
+    if not (slots or suspect or hinted):
         return out
     units = [masked[a:b] for a, b in sentence_starts(masked)]
+    if hinted:
+        out += pages(plain, masked, [x for x in (_SPACE.sub(" ", _TAG.sub(" ", u)).strip() for u in units) if x])
+    if not slots and not suspect:
+        return out
     filler = sum(len(u) for u in units if filler_share(u) >= 0.6)
     if filler >= 0.3 * len(plain) or any(filler_share(u) >= 0.8 and len(u.split()) >= 6 for u in units):
         out.append(("filler", "", "", True))
@@ -129,7 +172,7 @@ def signs(text: str) -> list[tuple[str, str, str, bool]]:
         weak = [m.group() for m in WEAK_SLOT.finditer(unit)]
         if strong or weak:
             out.append(("slot", template(unit), " ".join(strong + weak).lower(), bool(strong) or len(weak) >= 2))
-        elif len(units) > 1 and len(unit.split()) <= MAX_PAGE_WORDS and re.search(r"\babstract text goes here\b|\bno abstract (?:is )?available\b|\babstract not available\b", unit, re.I):
+        elif len(units) > 1 and re.search(r"\babstract text goes here\b|\bno abstract (?:is )?available\b|\babstract not available\b", unit, re.I):
             out.append(("page", template(unit), "", True))
     return out
 

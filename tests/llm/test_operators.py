@@ -117,6 +117,23 @@ def test_residue(text, found):
     assert any(s[3] for s in residue.signs(text)) is found
 
 
+PROSE = "The weekly quiz raised the recall of key terms in small groups. A short story delayed the use of visual aids after a warm up. " * 3
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        (PROSE + "Please enable JavaScript to view this page.", True), (PROSE + "502 Bad Gateway", True), ("No abstract available. " + PROSE, True),
+        ("Access denied. You do not have permission to view this record. " + "Return to the search page and choose another entry from the list shown there. " * 5, True),
+        ("Traceback (most recent call last): " + "File run, line 3, in fetch " * 12 + "KeyError: 'abstract'", True),
+        (PROSE, False), (PROSE + "Pupils who met an internal server error left the task.", False), (PROSE + "An access denied notice was shown to 63 of the pupils.", False),
+        ("Teachers reported that the service was unavailable, and error 404 confused the class.", False),
+    ],
+)
+def test_residue_at_any_length(text, found):
+    assert any(s[3] for s in residue.signs(text)) is found
+
+
 def test_residue_frame(spark):
     df = spark.createDataFrame([("a", "{{title}}", "k"), ("b", "{{title}}", "k"), ("c", None, "k"), ("d", "A fine text about pupils.", "k"), ("a", "{{title}}", "k")], "ut string, ab string, template string")
     out = residue.residue(df, "ut", "ab").collect()
