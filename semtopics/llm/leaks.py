@@ -8,7 +8,8 @@ For every window of ``min_words`` words of an item the posting lists of its two
 positions are intersected after subtracting their offsets; each survivor is extended
 word by word in both directions, and runs of at least ``min_words`` words are exact phrase
 matches. Runs half as long that follow one another within a few words in both texts are
-joined to proximity matches.
+joined to proximity matches, each run with all that follow within the slack; those that
+overlap a phrase match are left out.
 
 Nothing is shuffled but the document frequencies; the test items (a held-out set, not
 growing with the corpus) travel with the tasks in blocks of ``ITEMS_PER_BLOCK``, so their
@@ -156,9 +157,12 @@ def _match(index: DataFrame, block: list, frequency: np.ndarray, min_words: int,
                     first = int(shard.base[doc])
                     phrase = [r for r in runs if r[2] >= min_words]
                     rows += [(int(shard.ids[doc]), item_id, "phrase", n, p - first + 1) for p, o, n in phrase]
-                    if not phrase and proximity:
-                        for (p, o, n), (q, u, m) in zip(runs, runs[1:]):
-                            if 0 <= q - (p + n) <= slack and 0 <= u - (o + n) <= slack and n + m >= min_words:
+                    for k, (p, o, n) in enumerate(runs if proximity else ()):
+                        for q, u, m in runs[k + 1 :]:  # sorted by place: all runs within the slack
+                            if q - (p + n) > slack:
+                                break
+                            near = q >= p + n and 0 <= u - (o + n) <= slack and n + m >= min_words
+                            if near and not any(a < q + m and p < a + c for a, _, c in phrase):
                                 rows.append((int(shard.ids[doc]), item_id, "proximity", n + m, p - first + 1))
             cols = list(zip(*rows)) or [[]] * 5
             types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())

@@ -381,6 +381,15 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaks(df, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
 
 
+def test_proximity_beside_phrases(spark):
+    w = [f"w{i}" for i in range(20)]
+    edited = w[:8] + ["other"] + w[8:16]
+    it = spark.createDataFrame([(1, " ".join(w)), (2, "a b c d e f g h i j k l m n o p")], "item_id long, text string")
+    df = spark.createDataFrame([(1, " ".join(w + ["x"] * 20 + edited)), (2, " ".join(edited)), (3, " ".join(w))], "doc_id long, text string")
+    got = {(r.doc_id, r.kind, r.n_words, r.first_word) for r in leaks.leaks(df, "doc_id", "text", it, "item_id", "text").collect()}
+    assert got == {(1, "phrase", 20, 1), (1, "proximity", 16, 41), (2, "proximity", 16, 1), (3, "phrase", 20, 1)}
+
+
 def test_broken_words():
     assert leaks.words_of("On Sat-\nurday 12 well-known Ｃａｆé, it’s") == ["on", "saturday", "12", "well", "known", "ｃａｆé", "it", "s"]
 
