@@ -105,8 +105,8 @@ def test_mcl_on_two_cliques(spark):
     [
         ("{{abstract}}", True), ("[No abstract available]", True), ("N/A", True), ("null ", True), ("Please enable JavaScript to view this abstract.", True),
         ("404 Not Found. The page you requested could not be found on this server.", True), ("Lorem ipsum dolor sit amet velit nulla magna.", True),
-        ("The mean score was [INSERT MEAN] points. Pupils were glad.", True), ("Data were collected in <YEAR> by %TEAM_NAME%.", True), ("We study ___________ in a sample of ____ pupils.", True),
-        ("This paper presents [topic] and tests it with [number] pupils.", True), ("test test test. test test test.", True), ("The effect was XX.XX here.", True),
+        ("Data were collected in <YEAR> by %TEAM_NAME%.", True), ("We study ___________ in a sample of ____ pupils.", True),
+        ("test test test. test test test.", True), ("The effect was XX.XX here.", True),
         ("Hints such as “Well done, {name}!” were filled in.", False), ("A page that says “not found” confused 63 of the pupils. They left it.", False),
         ("Half of the class typed lorem ipsum or the word test instead of an essay in 61 cases.", False), ("The set {9, 8, 7} was shown first.", False),
         ("We set $\\alpha = 0.05$ and $n_{2} = 40$.", False), ("Costs fell from $75 to $5 per pupil.", False), ("It uses [[topic model|topic models]].", False), ("Reason #1 was lack of time [12].", False),
@@ -114,7 +114,7 @@ def test_mcl_on_two_cliques(spark):
     ],
 )
 def test_residue(text, found):
-    assert any(s[3] for s in residue.signs(text)) is found
+    assert any(s[3] != "alignment" for s in residue.signs(text)) is found
 
 
 PROSE = "The weekly quiz raised the recall of key terms in small groups. A short story delayed the use of visual aids after a warm up. " * 3
@@ -131,7 +131,26 @@ PROSE = "The weekly quiz raised the recall of key terms in small groups. A short
     ],
 )
 def test_residue_at_any_length(text, found):
-    assert any(s[3] for s in residue.signs(text)) is found
+    assert any(s[3] != "alignment" for s in residue.signs(text)) is found
+
+
+def test_residue_by_alignment(spark):
+    """Slots without a template notation are found by the records that share their frame."""
+    texts = {
+        "a1": "Dear user_name, the text is due on default_date. " + PROSE, "a2": PROSE + "Dear user_name, the text is due on default_date.",
+        "b1": "The mean score was [INSERT MEAN] points. Pupils were glad.", "b2": "The mean score was [insert mean] points. " + PROSE,
+        "c1": "The results show [MAIN RESULT] in every class.",  # seen once: nothing to align with
+        "d1": "The column user_id and the flag is_new were logged 12 times. " + PROSE, "d2": "The column user_id and the flag is_new were logged 55 times.",  # names are mentioned
+        "e1": "They drew the [red] ball. " + PROSE, "e2": "They drew the [blue] ball.", "e3": "They drew the [green] ball.", "e4": PROSE + "They drew the [big] ball.",  # filled: the filling varies
+        "f1": "This article discusses error messages such as internal server error.", "f2": "This article discusses error messages such as bad gateway. " + PROSE,
+        "g1": "Say [hello world] to them. " + PROSE, "g2": "Say [hello world] to them. " + PROSE,  # one text under two ids
+        "h1": PROSE * 5 + "Sorry, this page could not be found on our server. " + PROSE * 3,
+    }
+    df = spark.createDataFrame([(k, v, 1) for k, v in texts.items()], "ut string, ab string, n_records int")
+    out = residue.residue(df, "ut", "ab").collect()
+    assert {r.id for r in out if r.decided_by == "alignment"} == {"a1", "a2", "b1", "b2"}
+    assert {r.id for r in out} == {"a1", "a2", "b1", "b2", "h1"}
+    assert {(r.template, r.n_records, r.n_fillings) for r in out if r.id[0] in "ab"} == {("dear \x00, the text is due on \x00", 2, 1), ("the mean score was \x00 points", 2, 1)}
 
 
 def test_residue_frame(spark):
