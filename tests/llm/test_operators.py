@@ -160,18 +160,19 @@ def test_residue_frame(spark):
     assert residue.residue(df.limit(0), "ut", "ab").count() == 0
 
 
-@pytest.mark.parametrize(
-    "text, kinds",
-    [
+MARKED = [
         ("a <b>bold</b> word", ["html"]), ("R&D staff and x < 3 and y > 2", []), ("AT&amp;T &lt;p&gt;", ["html"]), ("## Aim\n\ntext", ["markdown"]), ("a **bold** word", ["markdown"]),
-        ("| a | b |\n|---|---:|\n| 1 | 2 |", ["markdown"]), ("a*b*c and user_id is_new C# and 2 * 2", []), ("see [it](https://x.invalid/1.md)", ["markdown"]), ("- one\n- two", ["markdown"]),
+        ("| a | b |\n|---|---:|\n|** 1 | 2 |", ["markdown"]), ("a*b*c and user_id is_new C# and 2 * 2", []), ("see [it](https://x.invalid/1.md)", ["markdown"]), ("- one\n- two", ["markdown"]),
         ("It uses [[model|models]]", ["wiki"]), ("'''bold''' and ''it''", ["wiki"]), ("== Aim ==\ntext", ["wiki"]), ("* [[one]]\n** two", ["wiki"]), ('{| class="wikitable"\n! a !! b\n|-\n| 1 || 2\n|}', ["wiki"]),
         ("About 52\\% of them", ["latex"]), ("\\section{Aim} text", ["latex"]), ("We set $n_{2} = 40$.", ["latex"]), ("from $75 to $5", []), ("see~\\cite{a2019}", ["latex"]),
         ("```r\nif a == b: x <- '''3'''\n```", ["markdown"]), ("<i>x</i> and \\textit{y}", ["html", "latex"]), ("", []), (None, []), ("\\begin{itemize}\n\\item a\n\\end{itemize}", ["latex"]),
-    ],
-)
-def test_markup_kinds(text, kinds):
-    assert markup.kinds_of(text) == kinds
+]
+
+
+def test_markup_kinds(spark):
+    df = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(MARKED)], "doc long, text string, kinds string")
+    out = {r.id: r.kinds for r in markup.clean_markup(df, "doc", "text").collect()}
+    assert [out[i] for i in range(len(MARKED))] == [kinds for _, kinds in MARKED]
 
 
 def test_markup_clean(spark):
@@ -184,7 +185,7 @@ def test_markup_clean(spark):
 
 def test_markup_kinds_frame(spark):
     df = spark.createDataFrame([("a", "a <b>bold</b> **word**"), ("b", "plain"), ("c", None), ("d", "![](x.png) <hr>")], "ut string, ab string")
-    assert {tuple(r) for r in markup.markup_kinds(df, "ut", "ab").collect()} == {("a", "html"), ("a", "markdown"), ("d", "html"), ("d", "markdown")}
+    assert {r.id: r.kinds for r in markup.clean_markup(df, "ut", "ab").collect()} == {"a": ["html", "markdown"], "b": [], "c": [], "d": ["html", "markdown"]}
 
 
 def test_markup_paths_decide(spark):
@@ -196,6 +197,10 @@ def test_markup_paths_decide(spark):
     assert out["b"].count("as they said,") == 3 and out["c"].split() == "x < 1 and more.".split()
     sums = markup.path_sums("<ul><li>one<li>two **three**</ul>rest")
     assert {p: s[1] for p, s in sums.items()} == {"text": 4, "text/html:ul": 0, "text/html:ul/html:li": 7, "text/html:ul/html:li/markdown:strong": 5}
+    # another collection, another verdict: the path of the links is content where they hold running text
+    essays = spark.createDataFrame([("a", menu + body), *[(str(k), f'<div><nav><a href="/{k}">The pupils, as they said, explained the task; it went well. {PROSE}</a></nav></div>') for k in range(9)]], "ut string, ab string")
+    rows = {r.id: r for r in markup.clean_markup(essays, "ut", "ab").collect()}
+    assert rows["a"].clean_text.startswith("p0p1p2p3") and out["a"].startswith("The pupils") and rows["a"].kinds == ["html"]
     low = markup.content_paths([("text", 9, 9000, 200, 0), ("text/markdown:heading", 9, 90, 0, 40), ("text/html:h2", 9, 10, 0, 20_000)])
     assert low == {"text": True, "text/markdown:heading": True, "text/html:h2": False}
 
