@@ -414,6 +414,17 @@ def test_proximity_beside_phrases(spark):
     assert got == {(1, "phrase", 20, 1), (1, "proximity", 16, 41), (2, "proximity", 16, 1), (3, "phrase", 20, 1)}
 
 
+def test_short_items_and_many_blocks(spark, monkeypatch):
+    it = spark.createDataFrame([(1, "One two three."), (2, "alone"), (3, "a b c d e f g h i j k l m n")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "zero one two, three four alone"), (2, "one two"), (3, "x a b c d e f g h i j k l y alone")], "doc_id long, text string")
+    want = {(1, 1, "phrase", 3, 2), (1, 2, "phrase", 1, 6), (3, 3, "phrase", 12, 2), (3, 2, "phrase", 1, 15)}
+    assert {tuple(r) for r in leaks.leaks(df, "doc_id", "text", it, "item_id", "text").collect()} == want
+    monkeypatch.setattr(leaks, "ITEMS_PER_BLOCK", 1)  # a pass over the index for every block of items
+    monkeypatch.setattr(leaks, "MAX_VOCABULARY", 1)  # the index of all terms
+    monkeypatch.setattr(leaks, "_STEP", 2)
+    assert {tuple(r) for r in leaks.leaks(df, "doc_id", "text", it, "item_id", "text").collect()} == want
+
+
 def test_broken_words():
     assert leaks.words_of("On Sat-\nurday 12 well-known Ｃａｆé, it’s") == ["on", "saturday", "12", "well", "known", "ｃａｆé", "it", "s"]
 
