@@ -3,14 +3,18 @@
 Plan. (1) ``n_nodes`` records (those of lowest id hash) become pivots; then, pass by pass,
 records less similar than ``cover`` to every pivot become pivots too, until there are none, so
 a small group away from the others owns a pivot however small its share is. Every record joins
-its nearest pivot's cell and one pass sums the vectors of each cell.
-(2) The cells' mean vectors are the nodes of a similarity graph (edges of cosine at least
-``min_similarity``, weighted by the cells' sizes). (3) Markov clustering on it: the
+its nearest pivot's cell and one pass sums the vectors of each cell (as whole numbers, so the sums
+don't depend on partitions). (2) The cells' mean vectors are the nodes of a similarity graph (edges
+of cosine at least ``min_similarity``, weighted by the cells' sizes). (3) Markov clustering on it: the
 column-stochastic flow matrix, kept as (i, j, v) rows, is squared by a distributed join and
-group-by, inflated and pruned until it settles. Attractor rows define the clusters; columns
-follow their strongest flow. (4) Every record is placed with the nearest cluster mean. So the
-work on records is linear and free of shuffles, while the graph's size follows the spread of
-the vectors, not their number; only pivots' vectors move, and (id, cluster, distance) rows.
+group-by, inflated and pruned until it settles. Attractor rows define the clusters; a column
+belongs to the attractor of its strongest flow. (4) A record is a column of its own: its
+similarities to the pivots of at least ``min_similarity``, inflated by ``sharpness``, are its flow to
+them, which the settled matrix carries on to the attractors; it belongs to the cluster that gets
+most of it, with that share as its ``flow``. A cluster's centroid is the mean of its cells weighted
+by their flow to its attractor. So the work on records is linear and free of shuffles,
+while the graph's size follows the spread of the vectors, not their number; only pivots' vectors
+move, and (id, cluster, distance, flow) rows.
 
 Edge cases: null, ragged, non-finite and zero vectors have no direction and give no rows; a
 record delivered twice counts once in the result; ties go to the lower cluster number;
@@ -27,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import NotConverged
 from ..plans.store import drop_table, materialize
 
 
@@ -52,38 +57,61 @@ def _nearest(x: np.ndarray, centres: np.ndarray, block: int = 8192) -> tuple[np.
     return at, sim
 
 
+#: Coordinates are added up in units of this, so sums are exact in any order (up to 5 * 10**11 rows).
+_UNIT = float(2**24)
+
+
 def cell_sums(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(cell, dim, total, n): sums of unit vectors by nearest pivot, combined per partition."""
+    """(cell, n, total): numbers of rows and exact sums of unit vectors by nearest pivot."""
     dim = pivots.shape[1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, count = np.zeros(pivots.shape), np.zeros(len(pivots), np.int64)
+    def add(batches: Iterator[pa.RecordBatch], read) -> Iterator[pa.RecordBatch]:
+        count, total = np.zeros(len(pivots), np.int64), np.zeros(pivots.shape, np.int64)
         for batch in batches:
-            _, x = _unit_rows(batch, dim)
-            at, _ = _nearest(x, pivots)
-            count += np.bincount(at, minlength=len(pivots))
-            for d in range(dim):
-                total[:, d] += np.bincount(at, weights=x[:, d], minlength=len(pivots))
+            for at, n, x in read(batch):
+                np.add.at(count, at, n)
+                np.add.at(total, at, x)
         used = np.flatnonzero(count)
-        cells = np.repeat(used, dim).astype(np.int32)
-        dims = np.tile(np.arange(dim, dtype=np.int32), len(used))
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(dims), pa.array(total[used].ravel()), pa.array(np.repeat(count[used], dim))], names=["cell", "dim", "total", "n"])
-
-    parts = vectors.mapInArrow(run, "cell int, dim int, total double, n long")
-    return parts.groupBy("cell", "dim").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-
-
-def place(vectors: DataFrame, id_col: str, centres: np.ndarray) -> DataFrame:
-    """(id, cluster, distance): nearest centre of every usable row by cosine."""
-    dim = centres.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(count[used]), pa.array(list(total[used]), pa.list_(pa.int64()))], names=["cell", "n", "total"])
+
+    def rows(batch: pa.RecordBatch):
+        _, x = _unit_rows(batch, dim)
+        for i in range(0, len(x), 8192):
+            part = x[i : i + 8192]
+            at, _ = _nearest(part, pivots)
+            order = np.argsort(at, kind="stable")
+            cells, first, n = np.unique(at[order], return_index=True, return_counts=True)
+            yield cells, n, np.add.reduceat(np.rint(part[order] * _UNIT).astype(np.int64), first, axis=0)
+
+    def sums(batch: pa.RecordBatch):
+        if batch.num_rows:
+            yield batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().reshape(-1, dim)
+
+    schema = "cell int, n long, total array<long>"
+    parts = vectors.mapInArrow(lambda b: add(b, rows), schema)
+    return parts.repartition("cell").mapInArrow(lambda b: add(b, sums), schema)
+
+
+def place(vectors: DataFrame, id_col: str, pivots: np.ndarray, settled: np.ndarray, centroids: np.ndarray, min_similarity: float, sharpness: float) -> DataFrame:
+    """(id, cluster, distance, flow) of every usable row: the cluster that gets most of the row's
+    flow, the cosine distance to its centroid and the share of the flow. ``settled`` is pivots x
+    clusters: the flow from every pivot to its attractor."""
+    dim = pivots.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, x = _unit_rows(batch, dim)
-            at, sim = _nearest(x, centres)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(at), pa.array(np.maximum(0.0, 1.0 - sim.astype(np.float64)))], names=[id_col, "cluster", "distance"])
+            at, share = np.zeros(len(x), np.int32), np.zeros(len(x))
+            for i in range(0, len(x), 8192):
+                s = x[i : i + 8192] @ pivots.T
+                least = np.minimum(s.max(1, keepdims=True), min_similarity)  # the nearest pivot always counts
+                flow = np.where(s >= least, np.maximum(s, 1e-6) ** sharpness, 0) @ settled
+                at[i : i + 8192] = flow.argmax(1)
+                share[i : i + 8192] = flow.max(1) / flow.sum(1)
+            sim = np.einsum("ij,ij->i", x.astype(np.float64), centroids[at])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(at), pa.array(np.maximum(0.0, 1.0 - sim)), pa.array(share)], names=[id_col, "cluster", "distance", "flow"])
 
-    return vectors.mapInArrow(run, f"{id_col} long, cluster int, distance double")
+    return vectors.mapInArrow(run, f"{id_col} long, cluster int, distance double, flow double")
 
 
 def uncovered(vectors: DataFrame, id_col: str, pivots: np.ndarray, cover: float, n: int) -> list:
@@ -140,13 +168,13 @@ def similarity_graph(spark, nodes: np.ndarray, sizes: np.ndarray, min_similarity
     return spark.range(len(nodes)).mapInArrow(run, "i long, j long, v double")
 
 
-def markov_clusters(edges: DataFrame, inflation: float = 1.6, prune: float = 1e-2, max_iterations: int = 24) -> DataFrame:
+def markov_clusters(edges: DataFrame, inflation: float = 1.6, prune: float = 1e-2, max_iterations: int = 200) -> DataFrame:
     """Markov clustering of a weighted graph (i, j, v): (node, attractor, flow).
 
     Each step squares the flow matrix by a join on the inner index, raises its entries to
     ``inflation``, drops entries under ``prune`` of their column's largest (a share, so that
     columns with many equal entries keep them all) and rescales the columns. It ends when
-    every column is all but idempotent."""
+    every column is all but idempotent; an error says so if that takes over ``max_iterations``."""
     column = Window.partitionBy("j")
     flow = edges.withColumn("v", F.col("v") / F.sum("v").over(column))
     flow = materialize(flow, "mcl")
@@ -160,15 +188,18 @@ def markov_clusters(edges: DataFrame, inflation: float = 1.6, prune: float = 1e-
         drop_table(older)
         if chaos is None or chaos < 1e-3:
             break
+    else:
+        raise NotConverged(f"flow not settled after {max_iterations} steps")
     # attractors that feed one another form one system, named by its lowest number
     attractors = flow.filter((F.col("i") == F.col("j")) & (F.col("v") > 0.01)).select("i")
     ties = flow.filter("v > 0.01").join(attractors, "i").join(attractors.select(F.col("i").alias("j")), "j").select("i", "j")
     ties = materialize(ties.union(ties.select("j", "i")).distinct(), "mcl-ties")
     system = ties.groupBy("i").agg(F.min("j").alias("system"))
-    for _ in range(10):
+    while True:  # the lowest number spreads over each system
         system = materialize(system, "mcl-systems")
         wider = ties.join(system.select(F.col("i").alias("j"), "system"), "j").groupBy("i").agg(F.min("system").alias("wider"))
         moved = materialize(system.join(wider, "i").select("i", F.least("system", "wider").alias("system"), (F.col("wider") < F.col("system")).alias("moved")), "mcl-systems")
+        drop_table(system)
         system = moved.select("i", "system")
         if moved.filter("moved").isEmpty():
             break
@@ -176,8 +207,9 @@ def markov_clusters(edges: DataFrame, inflation: float = 1.6, prune: float = 1e-
     return strongest.join(system, "i", "left").select(F.col("j").alias("node"), F.coalesce("system", "i").alias("attractor"), F.col("v").alias("flow"))
 
 
-def cluster_vectors(vectors: DataFrame, id_col: str, vector_col: str, n_nodes: int = 512, min_similarity: float = 0.6, inflation: float = 1.6, cover: float = 0.7) -> DataFrame:
-    """(id, cluster, distance): each record's cluster and its cosine distance to the cluster's mean.
+def cluster_vectors(vectors: DataFrame, id_col: str, vector_col: str, n_nodes: int = 512, min_similarity: float = 0.6, inflation: float = 1.6, cover: float = 0.7, sharpness: float = 4.0) -> DataFrame:
+    """(id, cluster, distance, flow): each record's cluster, its cosine distance to the cluster's centroid
+    and the share of its flow that reaches it.
 
     ``n_nodes`` pivots are sampled, and ``n_nodes`` at most added a pass until every row has one
     of similarity ``cover``; all rows are placed."""
@@ -190,33 +222,37 @@ def cluster_vectors(vectors: DataFrame, id_col: str, vector_col: str, n_nodes: i
     sample = low.orderBy(F.xxhash64(id_col), id_col).limit(n_nodes).collect()  # at most n_nodes rows
     dims = [len(r.embedding) for r in sample]
     if not dims:
-        return spark.createDataFrame([], f"{id_col} long, cluster int, distance double")
-    dim = max(set(dims), key=dims.count)
+        return spark.createDataFrame([], f"{id_col} long, cluster int, distance double, flow double")
+    dim = max(set(dims), key=dims.count)  # vectors of another dimension are ragged
     pivots = np.array([r.embedding for r in {r[id_col]: r for r in sample}.values() if len(r.embedding) == dim], np.float32)
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     pivots = covering_pivots(usable, id_col, pivots, cover, n_nodes)
     totals = np.zeros(pivots.shape)
     sizes = np.zeros(len(pivots))
-    for cell, d, total, n in cell_sums(vectors, pivots).collect():  # pivots x dim numbers
-        totals[cell, d], sizes[cell] = total, n
+    for r in cell_sums(vectors, pivots).collect():  # one row of dim numbers per pivot
+        totals[r.cell], sizes[r.cell] = np.array(r.total) / _UNIT, r.n
     used = np.flatnonzero(sizes)
     totals, sizes = totals[used], sizes[used]
     edges = similarity_graph(spark, totals / sizes[:, None], sizes, min_similarity)
-    label = np.arange(len(used))
-    for node, attractor, _ in markov_clusters(edges, inflation).collect():  # one row per pivot
-        label[node] = attractor
-    label = label[label]  # an attractor that follows a stronger one takes its members along
-    means = np.array([totals[label == k].sum(0) for k in np.unique(label)])
-    order = np.argsort([-sizes[label == k].sum() for k in np.unique(label)], kind="stable")
-    means = means[order] / np.maximum(np.linalg.norm(means[order], axis=1, keepdims=True), 1e-12)
-    return place(vectors, id_col, means.astype(np.float32))
+    label, flow = np.arange(len(used)), np.ones(len(used))
+    for node, attractor, v in markov_clusters(edges, inflation).collect():  # one row per pivot
+        label[node], flow[node] = attractor, v
+    while not np.array_equal(label[label], label):  # an attractor that follows a stronger one takes its members along
+        label = np.minimum(label[label], label) if np.array_equal(label[label][label], label) else label[label]
+    order = sorted(np.unique(label), key=lambda k: (-sizes[label == k].sum(), k))
+    settled = np.zeros((len(pivots), len(order)), np.float32)
+    settled[used, [order.index(k) for k in label]] = flow
+    centroids = np.array([(totals * flow[:, None])[label == k].sum(0) for k in order])
+    centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
+    return place(vectors, id_col, pivots, settled, centroids, min_similarity, sharpness)
 
 
 def placed_documents(spark, sf_dir: str) -> DataFrame:
-    """document_id, cluster, distance, stored topic and the cluster's topic (the stored topic most members have)."""
+    """document_id, cluster, distance, flow, stored topic and the cluster's topic (the stored topic most members have)."""
     placed = cluster_vectors(spark.read.parquet(f"{sf_dir}/assignment_vectors.parquet"), "document_id", "embedding")
     stored = spark.read.parquet(f"{sf_dir}/document_assignments.parquet").filter("included and document_id is not null").select("document_id", F.col("topic").cast("int").alias("stored"))
-    once = placed.groupBy("document_id").agg(F.min("cluster").alias("cluster"), F.min("distance").alias("distance"))
+    # of two vectors of a document the one nearer to its cluster counts
+    once = placed.groupBy("document_id").agg(F.min(F.struct("distance", "cluster", "flow")).alias("b")).select("document_id", "b.*")
     rows = materialize(once.join(stored, "document_id"), "p2-placed")
     votes = rows.filter("stored is not null").groupBy("cluster", "stored").agg(F.count("*").alias("n"))
     first = Window.partitionBy("cluster").orderBy(F.desc("n"), "stored")
@@ -230,13 +266,14 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p2_topics(spark, sf_dir: str) -> DataFrame:
-    """Per topic its size and its ten most typical members (lowest distance, then lowest id)."""
+    """Per topic its size and its ten most typical members (lowest distance, then lowest id) with
+    the share of their flow that reaches the topic's attractor."""
     rows = placed_documents(spark, sf_dir)
     sizes = rows.groupBy("topic").agg(F.count("*").alias("n_documents"))
     w = Window.partitionBy("topic").orderBy("distance", "document_id")
     # the window keeps ten rows a partition before its shuffle (WindowGroupLimit)
     top = rows.withColumn("representative_rank", F.row_number().over(w)).filter("representative_rank <= 10")
-    return top.join(F.broadcast(sizes), "topic").select("topic", "n_documents", "representative_rank", "document_id", F.col("distance").alias("cosine_distance_to_centroid"))
+    return top.join(F.broadcast(sizes), "topic").select("topic", "n_documents", "representative_rank", "document_id", F.col("distance").alias("cosine_distance_to_centroid"), "flow")
 
 
 QUERIES = {"p2_found": p2_found, "p2_topics": p2_topics}
