@@ -5,10 +5,15 @@ Gaussian mixture (diagonal covariances) with expectation-maximisation. Component
 the statistics of a few inspected examples of each kind; after the fit each component is
 mapped to prose, list, table or junk by the posterior mass of the examples in it.
 
-Plan: one Arrow pass over whole texts computes the statistics; every EM step is one pass
-over that narrow table which adds up K x (2D + 1) numbers per partition, so nothing grows
-with the data but the scans. Common words are the ``n_common`` words in most documents of
-the collection (counted over all documents).
+Plan: one small pass adds up letter pairs over all documents (their conditional frequencies tell
+random letters from words of any language); one Arrow pass over whole texts computes the statistics,
+with characters classified for whole batches at a time; every EM step is one pass over that
+narrow table which adds up K x (2D + 1) numbers per partition, so nothing grows with the data but
+the scans. Common words are the ``n_common`` words in most documents of the collection (counted over
+all documents).
+
+A statistic that says nothing of a text is null (word lengths, common words and odd tokens of a
+script without spaces) and counts as the collection's mean in the mixture.
 
 Edge cases: null, empty and blank texts have null statistics and kind null; a collection
 without usable texts gives only such rows; ties go to the first component; repeated rows
@@ -18,26 +23,30 @@ count as often as they come; other columns are not read.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import NotConverged
 from ..plans.store import materialize
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: Scripts written without spaces: every character counts as a word.
 _DENSE = re.compile(r"[฀-๿぀-ヿ㐀-鿿가-힯຀-໿ក-៿က-႟]")
 _INDIC = re.compile(r"[ऀ-෿฀-๿̀-ͯ]")
-_END = re.compile(r"[.!?…。！？।॥؟]['\"”’»)\]」]*\s*$")
+#: Characters that end a sentence, and those that may close it after them.
+_ENDS, _CLOSERS = frozenset(".!?…。！？।॥؟"), "'\"”’»)]」"
 _MARKER = re.compile(r"^\s*(?:[-–—*+•·◦▪>]|\[[ xX]?\]|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)]|\d+(?:\.\d+)+\.?|[^\W\d_]+ \d+:)\s+\S")
 _CELL = re.compile(r"\t|\||;(?! )|,(?! )| {2,}")
 _NUMBER = re.compile(r"^[-+]?\d+(?:[.,]\d+)?%?$")
 _PLAIN = re.compile(r"^[\W_]{0,3}(?:[^\W\d_]+(?:[-'’/.][^\W\d_]+)*|\d+(?:[.,:]\d+)*)[%\W_]{0,4}$")
 _SPOILT = re.compile(r"[\u0080-\u009f�]|Ã.|â€.?|Â|Å.|Ä.")
-FEATURES = ("words_per_line", "table_share", "list_share", "symbol_ratio", "digit_ratio", "mean_word_length", "repetition", "odd_token_share", "end_punctuation_share", "common_word_share", "spoilt_share")
+FEATURES = ("words_per_line", "table_share", "list_share", "symbol_ratio", "digit_ratio", "mean_word_length", "repetition", "odd_token_share", "end_punctuation_share", "common_word_share", "spoilt_share", "separator_share", "letter_pair_fit")
 KINDS = ("prose", "list", "table", "junk")
 
 
@@ -55,36 +64,107 @@ def _is_row(line: str) -> bool:
         return False
     numbers = sum(1 for c in cells if _NUMBER.match(c))
     short = sum(1 for c in cells if len(c) <= 24)
-    return short >= 0.8 * len(cells) and (numbers >= 0.4 * len(cells) or (numbers == 0 and re.search(r"[\t|;,]", line) is not None and max(map(len, cells)) <= 16 and not _END.search(line)))
-
-
-def statistics(text: str, common: frozenset) -> tuple[int, list[float]] | None:
-    """Word count and the values of ``FEATURES``; None for a blank text."""
-    lines = [x for x in text.splitlines() if x.strip()]
-    if not lines:
-        return None
-    solid = sum(1 for c in text if not c.isspace())
-    letters = sum(1 for c in text if c.isalpha())
-    digits = sum(1 for c in text if c.isdigit())
-    marks = len(_INDIC.findall(text)) - sum(1 for c in _INDIC.findall(text) if c.isalpha())
-    low = text.lower()
+    return short >= 0.8 * len(cells) and (numbers >= 0.4 * len(cells) or (numbers == 0 and re.search(r"[\t|;,]", line) is not None and max(map(len, cells)) <= 16 and line.rstrip().rstrip(_CLOSERS)[-1:] not in _ENDS))
+
+
+#: Letters are told apart by their code modulo this prime, which keeps the alphabets met in practice apart.
+_CLASSES = 509
+_SEPARATOR = re.compile(r"[·•;,|](?=[ \t])| / ")
+
+
+@cache
+def _character_table() -> np.ndarray:
+    """Bits of the characters of the basic plane: 1 space, 2 letter, 4 digit, 8 combining mark of an Indic or Thai script."""
+    table = np.zeros(0x10000, np.uint8)
+    for code in range(0x10000):
+        c = chr(code)
+        table[code] = c.isspace() | c.isalpha() << 1 | c.isdigit() << 2
+    for code in (*range(0x900, 0xE00), *range(0xE00, 0xE80), *range(0x300, 0x370)):
+        if not table[code] & 2:
+            table[code] |= 8
+    return table
+
+
+class Characters:
+    """Characters of a batch of texts as one array, and what they are, added up per text."""
+
+    def __init__(self, texts: list[str]):
+        low = [t.lower() for t in texts]
+        self.low, self.sizes = low, np.array([len(t) for t in low], np.int64)
+        codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+        beyond = np.flatnonzero(codes > 0xFFFF)
+        self.bits = _character_table()[np.where(codes > 0xFFFF, 0, codes)]
+        self.bits[beyond] = [2 * chr(c).isalpha() + 4 * chr(c).isdigit() for c in codes[beyond]]
+        self.of = np.repeat(np.arange(len(low)), self.sizes)
+        letter = (self.bits & 2) > 0
+        both = letter[:-1] & letter[1:] & (self.of[:-1] == self.of[1:]) if len(codes) else np.zeros(0, bool)
+        at = np.flatnonzero(both)
+        self.pair_of = self.of[at]
+        self.pairs = (codes[at] % _CLASSES).astype(np.int64) * _CLASSES + codes[at + 1] % _CLASSES
+
+    def count(self, bit: int, without: bool = False) -> np.ndarray:
+        held = (self.bits & bit) > 0
+        return np.bincount(self.of[held != without], minlength=len(self.low))
+
+
+def pair_fits(counts: np.ndarray) -> np.ndarray:
+    """Logarithm of the share of every second letter after a first one (one count added to each)."""
+    table = counts.reshape(_CLASSES, _CLASSES).astype(float) + 1.0
+    return np.log(table / table.sum(1, keepdims=True)).ravel().astype(np.float32)
+
+
+def letter_pairs(documents: DataFrame, text_col: str) -> np.ndarray:
+    """Counts of letter pairs over all documents (at most 509 x 509 numbers come to the driver)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_CLASSES * _CLASSES, np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                total += np.bincount(Characters(batch.column(0).slice(i, 256).to_pylist()).pairs, minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["pair", "n"])
+
+    rows = documents.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    found = rows.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(_CLASSES * _CLASSES, np.int64)
+    counts[found.pair.to_numpy(int)] = found.n.to_numpy(np.int64)
+    return counts
+
+
+def _plain(token: str) -> bool:
+    return token.isalpha() or token.strip(".,;:!?()\"'“”").isalpha() or _PLAIN.match(token) is not None
+
+
+def batch_statistics(texts: list[str | None], common: frozenset, fits: np.ndarray) -> list[tuple[int, list[float | None]] | None]:
+    """Word count and the values of ``FEATURES`` of every text; None for a blank one."""
+    used = [i for i, t in enumerate(texts) if t and not t.isspace()]
+    out: list = [None] * len(texts)
+    chars = Characters([texts[i] for i in used])
+    solid, letters, digits, marks = chars.count(1, True), chars.count(2), chars.count(4), chars.count(8)
+    n_pairs = np.bincount(chars.pair_of, minlength=len(used))
+    fit = np.bincount(chars.pair_of, weights=fits[chars.pairs], minlength=len(used)) / np.maximum(n_pairs, 1)
+    for k, i in enumerate(used):
+        out[i] = statistics(texts[i], chars.low[k], common, int(solid[k]), int(letters[k]), int(digits[k]), int(marks[k]), float(fit[k]) if n_pairs[k] else None)
+    return out
+
+
+def statistics(text: str, low: str, common: frozenset, solid: int, letters: int, digits: int, marks: int, fit: float | None) -> tuple[int, list[float | None]]:
+    lines = [x for x in text.splitlines() if x.strip()] or [text]
     words = _WORD.findall(low)
-    dense = _DENSE.findall(low)
+    dense = [] if low.isascii() else _DENSE.findall(low)
     is_dense = len(dense) > 0.3 * max(1, letters)
     units = dense if is_dense else words
     n_words = len(units)
-    mean_length = 4.0 if is_dense else (sum(map(len, words)) / len(words) if words else 0.0)
     tokens = text.split()
-    indic = bool(marks)
-    odd = 0.0 if is_dense or indic else sum(len(t) for t in tokens if not _PLAIN.match(t)) / max(1, solid)
+    odd = None if is_dense or marks else sum(len(t) for t in tokens if not _plain(t)) / max(1, solid)
     row_chars = list_chars = ends = 0
     total = 0
     for line in lines:
         size = len(line.strip())
         total += size
-        end = _END.search(line) is not None
+        end = line.rstrip().rstrip(_CLOSERS)[-1:] in _ENDS
         ends += end
-        if _is_row(line):
+        if _CELL.search(line) and _is_row(line):
             row_chars += size
         elif not end:
             n = len(line.split())
@@ -92,19 +172,20 @@ def statistics(text: str, common: frozenset) -> tuple[int, list[float]] | None:
                 list_chars += size
         elif _MARKER.match(line) and len(line.split()) <= 8:
             list_chars += size
-    per_line = n_words / len(lines)
     values = [
-        float(np.log1p(per_line)),
-        row_chars / total,
-        list_chars / total,
-        max(0.0, solid - letters - digits - marks) / solid,
-        digits / solid,
-        min(mean_length, 16.0),
+        float(np.log1p(n_words / len(lines))),
+        row_chars / max(1, total),
+        list_chars / max(1, total),
+        max(0, solid - letters - digits - marks) / max(1, solid),
+        digits / max(1, solid),
+        None if is_dense or not words else sum(map(len, words)) / len(words),
         _windowed_repetition(units),
         odd,
         ends / len(lines),
-        (sum(1 for w in words if w in common) / len(words)) if words and not is_dense else 0.3,
-        len(_SPOILT.findall(text)) / solid,
+        None if is_dense or not words else sum(1 for w in words if w in common) / len(words),
+        (0 if low.isascii() else len(_SPOILT.findall(text))) / max(1, solid),
+        0.0 if is_dense else len(_SEPARATOR.findall(text)) / max(1, len(tokens)),
+        None if is_dense else fit,
     ]
     return n_words, values
 
@@ -116,15 +197,17 @@ def common_words(documents: DataFrame, text_col: str, n_common: int = 300) -> fr
     return frozenset(r[0] for r in top.collect())
 
 
-def document_statistics(documents: DataFrame, id_col: str, text_col: str, common: frozenset) -> DataFrame:
+def document_statistics(documents: DataFrame, id_col: str, text_col: str, common: frozenset, fits: np.ndarray) -> DataFrame:
     names = ["doc_id", "word_count", *FEATURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [statistics(t, common) if t else None for t in batch.column(1).to_pylist()]
-            counts = pa.array([r and r[0] for r in rows], pa.int64())
-            columns = [pa.array([r and r[1][k] for r in rows], pa.float64()) for k in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, *columns], names=names)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                rows = batch_statistics(part.column(1).to_pylist(), common, fits)
+                counts = pa.array([r and r[0] for r in rows], pa.int64())
+                columns = [pa.array([r and r[1][k] for r in rows], pa.float64()) for k in range(len(FEATURES))]
+                yield pa.RecordBatch.from_arrays([part.column(0), counts, *columns], names=names)
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, word_count long, " + ", ".join(f"{f} double" for f in FEATURES))
@@ -139,7 +222,8 @@ class Mixture:
         self.floor, self.kinds = floor, kinds
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
-        quad = ((x[:, None, :] - self.means[None]) ** 2 / self.variances[None]).sum(2)
+        inverse = 1.0 / self.variances
+        quad = (x * x) @ inverse.T - 2.0 * x @ (self.means * inverse).T + (self.means**2 * inverse).sum(1)
         logp = np.log(self.weights + 1e-300) - 0.5 * (quad + np.log(self.variances).sum(1))
         logp -= logp.max(1, keepdims=True)
         p = np.exp(logp)
@@ -160,12 +244,16 @@ class Mixture:
         return moved
 
 
+_FAR = 8.0
+
+
 def _matrix(batch: pa.RecordBatch, mean: np.ndarray, scale: np.ndarray, first: int) -> np.ndarray:
+    """Standardised statistics; a missing one counts as the mean, and none as more than ``_FAR`` deviations."""
     x = np.stack([batch.column(first + k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(FEATURES))], axis=1)
-    return (x - mean) / scale
+    return np.clip(np.nan_to_num((x - mean) / scale, nan=0.0), -_FAR, _FAR)
 
 
-def fit_mixture(stats: DataFrame, mean: np.ndarray, scale: np.ndarray, mixture: Mixture, max_iterations: int = 12, tolerance: float = 0.02) -> Mixture:
+def fit_mixture(stats: DataFrame, mean: np.ndarray, scale: np.ndarray, mixture: Mixture, max_iterations: int = 60, tolerance: float = 0.02) -> Mixture:
     """EM over all rows of ``stats``; each step adds up sufficient statistics per partition."""
     rows = stats.filter("word_count is not null").select(*FEATURES)
     k, width = len(mixture.means), 2 * len(FEATURES) + 1
@@ -183,7 +271,8 @@ def fit_mixture(stats: DataFrame, mean: np.ndarray, scale: np.ndarray, mixture:
         for at, v in parts.collect():  # K x (2D + 1) numbers
             sums[at] = v
         if mixture.update(sums.reshape(k, width)) < tolerance:
-            break
+            return mixture
+    warnings.warn(f"mixture still moving after {max_iterations} steps", NotConverged, stacklevel=2)
     return mixture
 
 
@@ -207,6 +296,10 @@ def examples() -> list[tuple[str, str, str]]:
     out.append(("list bare", "list", "\n".join(" ".join(pick(i * 2 + j) for j in range(1 + i % 4)) for i in range(16))))
     out.append(("list bare", "list", "\n".join(f"{pick(i)}: {pick(i + 3)} {pick(i + 7)}" for i in range(14))))
     out.append(("list headed", "list", english.split(". ")[0] + ".\n\n" + "\n".join(f"- {pick(i)} {pick(i + 4)}" for i in range(16))))
+    more = nouns + "garden wheel pepper blanket tunnel mirror copper spade willow hammer cushion lantern parcel feather barrel curtain pigeon marble trumpet needle cherry pillow bucket compass saucer paddle velvet acorn magnet ribbon turnip gravel puppet sponge thicket bonnet walnut cellar mitten pebble".split()
+    for k, sign in enumerate((" · ", "; ", ", ", " • ", "; ", ", ")):
+        inline = sign.join(" ".join(more[(i * 17 + j * 23 + k * 5) % len(more)] for j in range(1 + (i * 7 + k) % 3)) for i in range(30 + 15 * k))
+        out.append(("list inline", "list", inline if k < 4 else english.split(". ")[0] + ".\n\n" + inline))
     for s, n in ((",", 4), (";", 5), ("\t", 3), (" | ", 5)):
         out.append(("table cells", "table", "\n".join(row(i, s, n) for i in range(12))))
     out.append(("table cells", "table", "\n".join("| " + row(i, " | ", 3) + " |" for i in range(12))))
@@ -218,6 +311,9 @@ def examples() -> list[tuple[str, str, str]]:
     code = "ABCDEFGHabcdefghijklmnop0123456789+/QRSTUVWXYZqrstuvwxyz"
     out.append(("junk encoded", "junk", "\n".join("".join(code[(i * 11 + j * j * 7 + j * 13) % len(code)] for j in range(76)) for i in range(6)) + "=="))
     out.append(("junk log", "junk", "\n".join(f"202{i % 5}-0{i % 9 + 1}-1{i % 9}T0{i % 9}:1{i % 9}:5{i % 9} {('INFO', 'WARN', 'DEBUG')[i % 3]} node-{i % 7} job={(i * 7919 + 123457) * 6271 % 16**8:08x} rc={i % 4}" for i in range(12))))
+    random = "qwertyuiopasdfghjkl"
+    for k in (3, 5):
+        out.append(("junk letters", "junk", " ".join("".join(random[(i * i * k + i * 11 + j * j * 5 + j * (3 + i % 7)) % len(random)] for j in range(2 + (i * k) % 10)) for i in range(90))))
     spoilt = ["Ã©", "â€™", "Ä\x8d", "�", "Å“", "Â", "o", "a"]
     out.append(("junk spoilt", "junk", " ".join("".join(spoilt[(i * 5 + j * j * 3 + j) % 8] for j in range(4 + i % 4)) for i in range(60))))
     out.append(("junk repeated", "junk", "Click here now! " * 40))
@@ -228,14 +324,16 @@ def examples() -> list[tuple[str, str, str]]:
 def classify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, word_count, the statistics and the kind of every document."""
     common = common_words(documents, text_col)
-    stats = materialize(document_statistics(documents, id_col, text_col, common), "p10-stats")
+    fits = pair_fits(letter_pairs(documents, text_col))
+    stats = materialize(document_statistics(documents, id_col, text_col, common, fits), "p10-stats")
     sums = stats.agg(F.count("word_count").alias("n"), *[F.avg(f).alias(f"m_{f}") for f in FEATURES], *[F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES]).first()
     if not sums.n:
         return stats.withColumn("kind", F.lit(None).cast("string"))
-    mean = np.array([sums[f"m_{f}"] for f in FEATURES])
-    scale = np.maximum(np.array([sums[f"s_{f}"] for f in FEATURES]), 0.02)
-    inspected = [(a, k, statistics(t, common)[1]) for a, k, t in examples()]
-    x = (np.array([v for _, _, v in inspected]) - mean) / scale
+    mean = np.array([sums[f"m_{f}"] or 0.0 for f in FEATURES])
+    scale = np.maximum(np.array([sums[f"s_{f}"] or 0.0 for f in FEATURES]), 0.02)
+    inspected = [(a, k, v) for (a, k, _), (_, v) in zip(examples(), batch_statistics([t for _, _, t in examples()], common, fits))]
+    x = np.array([[np.nan if f is None else f for f in v] for _, _, v in inspected])
+    x = np.clip(np.nan_to_num((x - mean) / scale, nan=0.0), -_FAR, _FAR)
     kinds = [k for _, k, _ in inspected]
     archetypes = sorted({a for a, _, _ in inspected})
     starts = np.array([x[[i for i, e in enumerate(inspected) if e[0] == a]].mean(0) for a in archetypes])

@@ -444,10 +444,13 @@ def test_quality(spark):
 
 
 def test_statistics():
-    n, v = quality.statistics("One two three.\nFour five!", frozenset({"one", "two"}))
+    fits = quality.pair_fits(np.zeros(quality._CLASSES**2))
+    (n, v), none, (_, rows), (_, dense) = quality.batch_statistics(["One two three.\nFour five!", " \n", "a,1,2.5\nb,2,3.5", "先生は毎日この道具を使う。😀 12"], frozenset({"one", "two"}), fits)
     s = dict(zip(quality.FEATURES, v))
     assert n == 5 and s["end_punctuation_share"] == 1 and s["common_word_share"] == pytest.approx(0.4) and s["mean_word_length"] == pytest.approx(3.8)
-    assert quality.statistics("a,1,2.5\nb,2,3.5", frozenset())[1][1] == 1.0
+    assert none is None and rows[1] == 1.0
+    t = dict(zip(quality.FEATURES, dense))
+    assert t["mean_word_length"] is None and t["common_word_share"] is None and t["digit_ratio"] == pytest.approx(2 / 16) and t["symbol_ratio"] == pytest.approx(2 / 16)
 
 
 # ------------------------------------------------------------------ contract
