@@ -1,12 +1,13 @@
 """Problem 6: sentence boundaries across languages and scripts.
 
-Method: the standard character-property sentence-break rules (terminators of all scripts,
-closing marks, spaces, no break before a lower-case letter after a full stop, none inside
-numbers), with abbreviation suppression by language and quotation handling: a mark inside a
-quotation never ends a sentence. Additions: a boundary may lack its space ("done.Now");
-scripts without terminators (Thai, Lao, Khmer) break at the spaces between their letters; an
-empty line, or a line break before a list item, heading or label, ends a sentence, while
-other line breaks are spaces.
+Method: the standard character-property sentence-break rules (the properties ATerm and STerm for
+the terminators of all scripts, closing marks, spaces, no break before a lower-case letter after
+a full stop, none inside numbers), with quotation handling (a mark inside a quotation never ends
+a sentence) and abbreviation suppression by language: a text's languages are told by their function
+words, and only their abbreviations count; a text without any is held against all languages.
+Additions: a boundary may lack its space ("done.Now"); scripts without terminators (Thai, Lao,
+Khmer) break at the spaces between their letters; an empty line or paragraph separator, or a line
+break before a list item, heading or label, ends a sentence, while other line breaks are spaces.
 
 Plan: one Arrow pass per table, no shuffle but the join with the records asked for.
 Edge cases: null and blank texts have no sentences; a text without any terminator is one
@@ -17,9 +18,11 @@ ignored; very long texts are cut whole; repeated rows give their sentences once
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,16 +46,43 @@ FINAL = {"etc", "a.m", "p.m", "am", "pm", "usw", "atd", "apod", "itd", "itp", "s
 NUMBERED = {"no", "nos", "p", "pp", "nr", "č", "ch", "min", "max", "co", "id", "fr", "g", "pl", "ed", "est", "al", "ok", "art", "lit", "ill", "mt", "ex", "im", "ul", "str", "tab", "bd", "abs", "rep", "col", "old", "d", "г", "д", "им", "ts", "kb"}
 #: Month names written with a capital after an ordinal day ("Am 3. Mai"; fixed values).
 MONTHS = ("Januar", "Jänner", "Februar", "Feber", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
-_NEVER = frozenset(w for words in ABBREVIATIONS.values() for w in words.split())
+#: Function words that tell a language (fixed values).
+FUNCTION_WORDS = {
+    "en": "the and of was were is are that this with for from they he she you not have has by we but which more than him his her i it",
+    "de": "der die das und ist nicht mit ein eine auf für sich den dem von zu wird wurden auch wir haben",
+    "cs": "je že jsou nebo jako pro byl byla při také který která jsem ještě úlohu když není máš jsi ho za než už po od",
+    "sk": "je že sú alebo ako pre bol bola pri tiež ktorý ktorá som ešte keď úlohu nie máš si ho za než už po od",
+    "pl": "jest że są albo jak dla był była przy także który która jeszcze się nie czy masz już za ją pod niż ile jego jej tylko teraz",
+    "hu": "az egy és hogy nem van volt meg még mint ez csak vagy lehet",
+    "ro": "și este nu cu pentru care din sunt mai pe că să un ești",
+    "ru": "и не что это как был была для из он она ты на с по",
+    "uk": "і не що це як був була для із він вона ти або є на з",
+    "vi": "và của là có cho không được một những này trong với bạn",
+    "mn": "ба нь юм байна байсан энэ чи вэ уу болон",
+}
+#: Letters that tell a language (fixed values); any of them counts as two words.
+LETTERS = {"de": "ß", "cs": "řůě", "sk": "ľĺŕ", "pl": "łąęż", "hu": "őű", "ro": "șță", "uk": "іїєґ", "ru": "ыэъ", "mn": "өү", "vi": "ơưđ"}
+
+
+def _stripped(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)).replace("ł", "l")
 
-_STOP = ".．｡․"
-#: Sentence terminators of all scripts besides the ambiguous full stop (fixed values).
-_TERM = "!?…‼⁇⁈⁉！？。।॥؟۔܀܁܂։።፧፨᠃᠉။၊។៕᪨᪩᪪᪫᭚᭛᱾᱿꓿꘎꘏꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫﹒﹖﹗"
-_CANDIDATE = re.compile(rf"[{_STOP}{re.escape(_TERM)}]+")
+
+_FUNCTION = {k: frozenset([*v.split(), *map(_stripped, v.split())]) for k, v in FUNCTION_WORDS.items()}
+_LISTED = {k: frozenset([*v.split(), *map(_stripped, v.split())]) for k, v in ABBREVIATIONS.items()}
+_NEVER = frozenset().union(*_LISTED.values())
+
+_PLANE = "".join(map(chr, (*range(0x20, 0xD800), *range(0xE000, 0x20000))))
+_STOP = "".join(regex.findall(r"\p{Sentence_Break=ATerm}", _PLANE))
+#: The ellipsis ends a sentence here as a question mark does, though it has no such property.
+_TERM = "".join(regex.findall(r"\p{Sentence_Break=STerm}", _PLANE)) + "…"
+_CANDIDATE = re.compile(f"[{re.escape(_STOP + _TERM)}]+")
 _CLOSERS = "\"'”’»)]}›」』】）〉》＂"
 _PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "‹": "›", "《": "》", '"': '"'}
 _OPENER = re.compile("[" + "".join(_PAIRS) + "]")
-_LINE = re.compile(r"\n[ \t]*\n\s*|\n(?=[ \t]*(?:[-*+•–·]\s|#{1,6}\s|\d{1,3}[.)]\s|={2,}|\||[^\W\d_]+ ?: ))")
+_NL = "(?:\r\n|[\n\r\x85 ])"
+_PARAGRAPH = re.compile(rf"{_NL}[ \t]*{_NL}| ")
+_LINE = re.compile(rf"{_NL}[ \t]*{_NL}\s*| \s*|{_NL}(?=[ \t]*(?:[-*+•–·]\s|#{{1,6}}\s|\d{{1,3}}[.)]\s|={{2,}}|\||[^\W\d_]+ ?: ))")
 _SPACELESS = "฀-๿຀-໿ក-៿"
 _SPACELESS_BREAK = re.compile(rf"(?<=[{_SPACELESS}])[  \t\n]+(?=[{_SPACELESS}])")
 _DAY = re.compile(r"(?:^|\D)(?:[1-9]|[12]\d|3[01])$")
@@ -61,13 +91,14 @@ _TOKEN = re.compile(r"[^\s(\[{\"“«„「『]+$")
 
 def quoted_spans(text: str) -> list[tuple[int, int]]:
     """(start, end) of outermost quotations whose marks pair up within a paragraph."""
-    spans, n = [], len(text)
+    spans, n, limit = [], len(text), -1
     m = _OPENER.search(text)
     while m:
         i = m.start()
         close = _PAIRS[text[i]]
-        limit = text.find("\n\n", i)
-        limit = n if limit < 0 else limit
+        if limit < i:  # the end of the paragraph
+            end_of = _PARAGRAPH.search(text, i)
+            limit = end_of.start() if end_of else n
         depth_open, ends = text[i], [text.find(c, i + 1, limit) for c in close]
         ends = [e for e in ends if e >= 0]
         if ends:
@@ -84,10 +115,23 @@ def quoted_spans(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def _suppressed(text: str, at: int, after: str) -> bool:
+def languages_of(text: str) -> tuple[str, ...]:
+    """The languages whose function words a text holds: that of most, and others with half as many."""
+    low = text.lower()
+    words = {w.strip(".,;:!?") for w in low.split()}
+    hits = {k: len(words & v) + 2 * any(c in low for c in LETTERS.get(k, "")) for k, v in _FUNCTION.items()}
+    most = max(hits.values())
+    return tuple(k for k, n in hits.items() if 2 * n >= most) if most else tuple(hits)
+
+
+#: Characters looked back for an abbreviation; the listed ones have ten at most.
+_LOOK_BACK = 24
+
+
+def _suppressed(text: str, at: int, after: str, languages) -> bool:
     """Whether the full stop at ``at`` belongs to an abbreviation or an initial; ``after`` is
-    the next visible character."""
-    m = _TOKEN.search(text, max(0, at - 24), at)
+    the next visible character, ``languages`` gives the text's languages."""
+    m = _TOKEN.search(text, max(0, at - _LOOK_BACK), at)
     if not m:
         return False
     token = m.group().lower().lstrip("'’-–—/,;:")
@@ -95,9 +139,9 @@ def _suppressed(text: str, at: int, after: str) -> bool:
         return False
     if token in FINAL:
         return not after.isupper() and after not in "\"“«„「¿"
-    if token in NUMBERED:
-        return after.isdigit() or (token in ("co", "est", "al", "ex", "st") and not after.isupper())
-    if token in _NEVER:
+    if token in _NEVER and any(token in _LISTED[k] for k in languages()):
+        if token in NUMBERED:
+            return after.isdigit() or (token in ("co", "est", "al", "ex", "st") and not after.isupper())
         return True
     if len(token) == 1 and token.isalpha():
         return True  # an initial, or half of a spaced abbreviation such as "z. B."
@@ -109,6 +153,13 @@ def sentence_starts(text: str) -> list[tuple[int, int]]:
     breaks = []
     spans = None
     n = len(text)
+    found: list[tuple[str, ...]] = []
+
+    def languages() -> tuple[str, ...]:
+        if not found:
+            found.append(languages_of(text))
+        return found[0]
+
     for m in _CANDIDATE.finditer(text):
         at, end = m.start(), m.end()
         if spans is None:
@@ -130,10 +181,13 @@ def sentence_starts(text: str) -> list[tuple[int, int]]:
                 before = text[at - 1] if at else " "
                 if not (after.isupper() or after in "“«„" or after == '"') or not (before.islower() or before.isdigit() or before in "”»)\"" or (not before.isupper() and before.isalpha())):
                     continue
-            visible = after if after not in "\"“«„'(¿¡[" or spaced + 1 >= n else next((c for c in text[spaced : spaced + 4] if c.isalnum()), after)
+            shown = spaced
+            while shown < n and not text[shown].isalnum() and not text[shown].isspace():
+                shown += 1
+            visible = text[shown] if after in "\"“«„'(¿¡[" and shown < n and text[shown].isalnum() else after
             if (stop_only or run.endswith("…")) and (visible.islower() or after in ",;:-–—"):
                 continue
-            if stop_only and len(run) == 1 and (_suppressed(text, at, after) or (text.startswith(MONTHS, spaced) and _DAY.search(text, max(0, at - 3), at))):
+            if stop_only and len(run) == 1 and (_suppressed(text, at, after, languages) or (text.startswith(MONTHS, spaced) and _DAY.search(text, max(0, at - 3), at))):
                 continue
             if not stop_only and after in ",;:":
                 continue

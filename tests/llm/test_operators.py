@@ -296,6 +296,17 @@ def test_sentence_frame(spark):
     assert out.filter("row_id = 4").count() == 20_000 and sentences.split_sentences(df.limit(0), "row_id", "translation").count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, parts",
+    [
+        ("He came from old. 3 men left.", 2), ("I like art. 5 more came.", 2), ("They gave him an ok. 7 came.", 2), ("First one here\r\n\r\nSecond one here", 2), ("One paragraph\u2029another one", 2),
+        ("Siehe Abb. 3 und Nr. 4, das ist gut. Ende.", 2), ("Użyj np. 9 klocków, tj. mniej niż on. Koniec.", 2), ("Uzyj np. 9 klockow, tj. mniej niz on. Juz koniec.", 2), ("See p. 4 and fig. 5 of the book.", 1), ("Vezi pag. 3 și art. 5 din text.", 1),
+    ],
+)
+def test_abbreviations_by_language(text, parts):
+    assert len(sentences.sentence_starts(text)) == parts
+
+
 # ------------------------------------------------------------------ 7
 
 SAMPLES = {
