@@ -1,9 +1,11 @@
 """Problem 5: duplicates hidden by formatting differences.
 
-Method: an incremental ledger. Every message gets a canonical key; the ledger keeps, in
-hash buckets, one entry per key with its number of copies and its earliest
-representative. A new batch is aggregated first, full-outer-joined against the buckets it
-touches only, counts are added and the earliest representative is kept.
+Method: an incremental ledger. Every message gets two canonical keys: its letters and digits in
+order, and its labelled parts in sorted order. The ledger keeps, in hash buckets, one entry per
+pair of keys with its number of copies and its earliest representative. A new batch is aggregated
+first, full-outer-joined against the buckets it touches only, counts are added and the earliest
+representative is kept; it needs nothing of other batches. That a message without labels equals a
+labelled one letter by letter is settled when classes are read from the ledger.
 
 Keys are two independent 64-bit hashes of the canonical text (128 bits: at 10**10
 messages a collision has a chance below 10**-17), so no text is ever shuffled and the
@@ -72,13 +74,18 @@ def canonical_keys(df: DataFrame, id_col: str, text_col: str, *carry: str) -> Da
     return df.select("row_id", *carry, *_keys(F.col("s"), "s_"), *_keys(F.col("p"), "p_"))
 
 
+_KEYS = ["s_a", "s_b", "p_a", "p_b"]
+#: Entries a bucket should hold, from which the number of buckets follows.
+ENTRIES_PER_BUCKET = 1_000_000
+
+
 class Ledger:
     """Counts of canonical keys in hash buckets, kept as versions in the shared folder.
 
     ``version_of`` says for each bucket which version holds it (at most ``n_buckets``
     entries); a merge reads and rewrites only the buckets its batch touches."""
 
-    SCHEMA = "bucket int, a long, b long, copies long, first_row_id long"
+    SCHEMA = "bucket int, s_a long, s_b long, p_a long, p_b long, copies long, first_row_id long"
 
     def __init__(self, spark: SparkSession, n_buckets: int = 16):
         self.spark, self.n_buckets = spark, n_buckets
@@ -95,50 +102,51 @@ class Ledger:
         return out
 
     def merge(self, batch: DataFrame) -> None:
-        """``batch``: a, b, copies, first_row_id; several rows of one key are combined first."""
-        bucket = F.pmod(F.col("a"), F.lit(self.n_buckets)).cast("int").alias("bucket")
-        new = batch.groupBy(bucket, "a", "b").agg(F.sum("copies").alias("copies"), F.min("first_row_id").alias("first_row_id"))
+        """``batch``: the keys, copies, first_row_id; several rows of one pair of keys are combined first."""
+        bucket = F.pmod(F.col("s_a"), F.lit(self.n_buckets)).cast("int").alias("bucket")
+        new = batch.groupBy(bucket, *_KEYS).agg(F.sum("copies").alias("copies"), F.min("first_row_id").alias("first_row_id"))
         if self.version_of:
             # bucket numbers only: at most n_buckets rows come to the driver
             touched = {r[0] for r in batch.select(bucket).distinct().collect()}
-            old = self.state(touched).select("bucket", "a", "b", F.col("copies").alias("_c"), F.col("first_row_id").alias("_f"))
-            new = new.join(old, ["bucket", "a", "b"], "full_outer").select(
-                "bucket", "a", "b", (F.coalesce("copies", F.lit(0)) + F.coalesce("_c", F.lit(0))).alias("copies"), F.least("first_row_id", "_f").alias("first_row_id")
+            old = self.state(touched).select("bucket", *_KEYS, F.col("copies").alias("_c"), F.col("first_row_id").alias("_f"))
+            new = new.join(old, ["bucket", *_KEYS], "full_outer").select(
+                "bucket", *_KEYS, (F.coalesce("copies", F.lit(0)) + F.coalesce("_c", F.lit(0))).alias("copies"), F.least("first_row_id", "_f").alias("first_row_id")
             )
         else:
             touched = set(range(self.n_buckets))
         self.version += 1
-        new.select("bucket", "a", "b", "copies", "first_row_id").repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/v{self.version}")
+        new.select("bucket", *_KEYS, "copies", "first_row_id").repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/v{self.version}")
         dead = set(self.version_of.values())
         self.version_of |= dict.fromkeys(touched, self.version)
         for version in dead - set(self.version_of.values()):
             drop_path(self.spark, f"{self.path}/v{version}")
 
+    def classes(self) -> DataFrame:
+        """One row per pair of keys with its number of rows ``n`` and its class's ``copies`` and ``first_row_id``.
+
+        A message without labels joins the class of a labelled one with the same letters in order."""
+        entries = self.state().drop("bucket")
+        labelled = entries.filter((F.col("s_a") != F.col("p_a")) | (F.col("s_b") != F.col("p_b")))
+        alias = labelled.groupBy("s_a", "s_b").agg(F.min(F.struct("p_a", "p_b")).alias("to"))
+        to = [F.coalesce(F.col(f"to.{k}"), F.col(k)).alias(k[-1]) for k in ("p_a", "p_b")]
+        keyed = entries.join(alias, ["s_a", "s_b"], "left").select(*_KEYS, *to, F.col("copies").alias("n"), F.col("first_row_id").alias("_first"))
+        totals = keyed.groupBy("a", "b").agg(F.sum("n").alias("copies"), F.min("_first").alias("first_row_id"))
+        return keyed.drop("_first").join(totals, ["a", "b"]).drop("a", "b")
+
 
 def copy_classes(messages: DataFrame, id_col: str, text_col: str, batch_col: Column) -> tuple[DataFrame, DataFrame, int]:
     """Run the ledger over ``messages``, one batch for each value of ``batch_col`` in order.
 
-    Returns (rows: row_id and keys; classes: one row per distinct pair of keys with its
-    number of rows ``n``, its class's ``copies`` and ``first_row_id``; number of rows)."""
+    Returns (rows: row_id and keys; classes: see ``Ledger.classes``; number of rows)."""
     keyed = canonical_keys(messages.withColumn("_batch", batch_col), id_col, text_col, "_batch")
-    once = keyed.groupBy("row_id").agg(F.min("_batch").alias("batch"), *[F.min(k).alias(k) for k in ("s_a", "s_b", "p_a", "p_b")])
+    once = keyed.groupBy("row_id").agg(F.min("_batch").alias("batch"), *[F.min(k).alias(k) for k in _KEYS])
     rows = materialize(once, "p5-rows")
-    spark = rows.sparkSession
-    entries = rows.groupBy("batch", "s_a", "s_b", "p_a", "p_b").agg(F.count("*").alias("n"), F.min("row_id").alias("first"))
-    # a message without labels may equal a labelled one letter by letter: it joins that class
-    labelled = entries.filter((F.col("s_a") != F.col("p_a")) | (F.col("s_b") != F.col("p_b")))
-    alias = labelled.groupBy("s_a", "s_b").agg(F.min(F.struct("p_a", "p_b")).alias("to"))
-    entries = entries.join(alias, ["s_a", "s_b"], "left")
-    to = [F.coalesce(F.col(f"to.{k}"), F.col(k)).alias(k[-1]) for k in ("p_a", "p_b")]
-    entries = materialize(entries.select("batch", "s_a", "s_b", "p_a", "p_b", *to, "n", "first"), "p5-entries")
-    ledger = Ledger(spark)
-    batches = [r[0] for r in entries.select("batch").distinct().orderBy("batch").collect()]  # one value per load period
-    for b in batches:
-        ledger.merge(entries.filter(F.col("batch").eqNullSafe(F.lit(b))).select("a", "b", F.col("n").alias("copies"), F.col("first").alias("first_row_id")))
-    keys = entries.groupBy("s_a", "s_b", "p_a", "p_b", "a", "b").agg(F.sum("n").alias("n"))
-    classes = keys.join(ledger.state().drop("bucket"), ["a", "b"]).drop("a", "b")
-    total = rows.count()
-    return rows, classes, total
+    periods = [(r[0], r[1]) for r in rows.groupBy("batch").count().orderBy("batch").collect()]  # one row per load period
+    total = sum(n for _, n in periods)
+    ledger = Ledger(rows.sparkSession, max(16, -(-total // ENTRIES_PER_BUCKET)))
+    for b, _ in periods:
+        ledger.merge(rows.filter(F.col("batch").eqNullSafe(F.lit(b))).select(*_KEYS, F.lit(1).alias("copies"), F.col("row_id").alias("first_row_id")))
+    return rows, ledger.classes(), total
 
 
 def _load_year() -> Column:
@@ -175,3 +183,4 @@ a AS (SELECT s, min(p) AS p FROM k WHERE p IS NOT NULL GROUP BY s),
 c AS (SELECT row_id, min(row_id) OVER (PARTITION BY coalesce(a.p, k.p, k.s)) AS first_row_id FROM k LEFT JOIN a USING (s))
 SELECT first_row_id, row_id FROM c WHERE row_id <> first_row_id"""
 }
+SQL["p5_messages"] = SQL["p5_found"].replace("SELECT first_row_id, row_id FROM c WHERE row_id <> first_row_id", "SELECT first_row_id, copies, translation FROM (SELECT first_row_id, count(*) AS copies FROM c GROUP BY first_row_id) JOIN o ON row_id = first_row_id")

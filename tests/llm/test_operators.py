@@ -258,11 +258,14 @@ def test_copies_order_and_empty(spark):
 
 def test_ledger_touches_its_buckets_only(spark):
     ledger = copies.Ledger(spark, 4)
-    batch = lambda rows: spark.createDataFrame(rows, "a long, b long, copies long, first_row_id long")
+    batch = lambda rows: spark.createDataFrame([(a, b, a, b, n, first) for a, b, n, first in rows], "s_a long, s_b long, p_a long, p_b long, copies long, first_row_id long")
     ledger.merge(batch([(0, 1, 2, 10), (1, 1, 1, 11), (2, 5, 1, 12)]))
     ledger.merge(batch([(0, 1, 1, 4), (4, 9, 1, 20)]))
-    assert {(r.a, r.b): (r.copies, r.first_row_id) for r in ledger.state().collect()} == {(0, 1): (3, 4), (1, 1): (1, 11), (2, 5): (1, 12), (4, 9): (1, 20)}
+    assert {(r.s_a, r.s_b): (r.copies, r.first_row_id) for r in ledger.state().collect()} == {(0, 1): (3, 4), (1, 1): (1, 11), (2, 5): (1, 12), (4, 9): (1, 20)}
     assert ledger.version_of[0] == 2 and ledger.version_of[1] == 1
+    # a labelled message of a later batch takes the unlabelled ones of its letters into its class
+    ledger.merge(spark.createDataFrame([(1, 1, 70, 71, 2, 3)], "s_a long, s_b long, p_a long, p_b long, copies long, first_row_id long"))
+    assert {(r.copies, r.first_row_id) for r in ledger.classes().filter("s_a = 1").collect()} == {(3, 3)}
 
 
 # ------------------------------------------------------------------ 6
