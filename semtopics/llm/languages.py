@@ -6,9 +6,11 @@ bundles the vectors of its n-grams (trigrams of padded words and whole words) wi
 logarithmic weights, less the mean of all languages. A text is the bundle of its n-grams, so
 its dot product with a prototype is the sum of its n-grams' dot products: these are computed
 once on the driver for the n-grams of the training sample (unseen n-grams are
-quasi-orthogonal to every prototype and count as 0). A message's words are labelled by the
+quasi-orthogonal to every prototype and count as 0; so do n-grams seen fewer than ``min_count``
+times in every language's sample, which are noise). A message's words are labelled by the
 best path over languages, where each change of language costs ``SWITCH``; runs of a language
-become segments with their cosine and a confidence (softmax over the languages' cosines).
+become segments with a confidence (softmax over the languages' cosines, for which a text's norm is the
+square root of its number of n-grams, as those are all but orthogonal).
 
 Training: at most ``n_train`` rows per language, those of lowest id hash (a bounded,
 documented sample); all messages are classified. Accents are also trained in stripped form,
@@ -173,9 +175,11 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.nda
     return labels
 
 
-def language_segments(rows: DataFrame, id_col: str, text_col: str, profiles: Profiles, switch: float = SWITCH) -> DataFrame:
-    """(id, segment, lang, confidence, start_char, n_words): the language runs of each text.."""
-    schema = f"{id_col} long, segment int, lang string, confidence double, start_char int, n_words int"
+def language_segments(rows: DataFrame, id_col: str, text_col: str, profiles: Profiles, switch: float = SWITCH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, segment, lang, confidence, start_char, n_words, kept columns): the language runs of each text."""
+    columns = [id_col, "segment", "lang", "confidence", "start_char", "n_words", *keep]
+    kept = [rows.schema[c].dataType.simpleString() for c in keep]
+    schema = f"{id_col} long, segment int, lang string, confidence double, start_char int, n_words int" + "".join(f", {c} {t}" for c, t in zip(keep, kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words(profiles)
@@ -190,7 +194,7 @@ def language_segments(rows: DataFrame, id_col: str, text_col: str, profiles: Pro
                 lengths.append(len(words))
             lengths = np.array(lengths, np.int64)
             if not found:
-                yield pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32())], names=[id_col, "segment", "lang", "confidence", "start_char", "n_words"])
+                yield pa.RecordBatch.from_arrays([*[pa.array([], t) for t in (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32())], *[c.slice(0, 0) for c in batch.columns[2:]]], names=columns)
                 continue
             scores = known.scores(found)
             labels = best_paths(scores, lengths, switch)
@@ -205,11 +209,11 @@ def language_segments(rows: DataFrame, id_col: str, text_col: str, profiles: Pro
             of = doc[first]
             segment = np.arange(len(first)) - np.searchsorted(of, of) + 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[of], pa.int64()), pa.array(segment, pa.int32()), pa.array(names[labels[first]], pa.string()), pa.array(confidence.astype(float)), pa.array(np.array(starts)[first] + 1, pa.int32()), pa.array(n_words, pa.int32())],
-                names=[id_col, "segment", "lang", "confidence", "start_char", "n_words"],
+                [pa.array(ids[of], pa.int64()), pa.array(segment, pa.int32()), pa.array(names[labels[first]], pa.string()), pa.array(confidence.astype(float)), pa.array(np.array(starts)[first] + 1, pa.int32()), pa.array(n_words, pa.int32()), *[c.take(pa.array(of)) for c in batch.columns[2:]]],
+                names=columns,
             )
 
-    return rows.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).filter(F.col(id_col).isNotNull() & F.col("text").isNotNull()).mapInArrow(run, schema)
+    return rows.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"), *keep).filter(F.col(id_col).isNotNull() & F.col("text").isNotNull()).mapInArrow(run, schema)
 
 
 def train(messages: DataFrame, n_train: int = 2000) -> Profiles:
@@ -245,16 +249,12 @@ def p7_found(spark, sf_dir: str) -> DataFrame:
     """Messages whose label is missing, wrong or can't be right; one row per language contained."""
     messages = spark.read.parquet(f"{sf_dir}/feedback_translations.parquet")
     profiles = train(messages)
-    # the label travels in the id's low seven bits (fewer than 126 languages, ids below 2**56), so nothing is joined
+    # the label travels beside the text, so nothing is joined
     labelled = messages.select("row_id", "translation", language_code(F.col("translation_lang")).alias("label"))
-    codes = F.array(*[F.lit(c) for c in profiles.languages])
-    tagged = labelled.select((F.col("row_id") * 128 + F.when(F.col("label").isNull(), 0).otherwise(F.array_position(codes, F.col("label")) + 1)).alias("tag"), "translation")
-    segments = language_segments(tagged, "tag", "translation", profiles)
-    per = segments.groupBy("tag").agg(F.collect_set("lang").alias("langs"))
-    label = F.pmod(F.col("tag"), F.lit(128))
-    position = F.array_position(codes, F.col("langs")[0]) + 1
-    case = (label == 0) | (F.size("langs") > 1) | (label != position)
-    return per.filter(case).select(F.shiftright("tag", 7).alias("row_id"), F.explode("langs").alias("lang")).distinct()
+    segments = language_segments(labelled, "row_id", "translation", profiles, keep=("label",))
+    per = segments.groupBy("row_id").agg(F.collect_set("lang").alias("langs"), F.min("label").alias("label"))
+    case = F.col("label").isNull() | (F.size("langs") > 1) | (F.col("label") != F.col("langs")[0])
+    return per.filter(case).select("row_id", F.explode("langs").alias("lang"))
 
 
 QUERIES = {"p7_found": p7_found, "p7_segments": p7_segments}
