@@ -1,8 +1,9 @@
 """Deterministic clustering: farthest-point seeds, Lloyd passes, fixed seeds.
 
 Sums of vectors are added as integers (coordinates in units of 2**-36), so a mean is the
-same whatever the number of partitions and the order of rows; only K x D numbers leave a
-partition, and nothing is shuffled."""
+same whatever the number of partitions and the order of rows. A partition sends K rows of D
+numbers, which are added up on the executors; the driver gets K rows a pass, however many
+partitions there are."""
 
 from __future__ import annotations
 
@@ -19,6 +20,7 @@ from ..errors import BadInput, ClusteringFailed, DimensionMismatch, NotConverged
 
 _UNIT = float(2**36)
 _BLOCK = 8192
+_LOW = (1 << 30) - 1
 
 
 def check_vectors(units: DataFrame, vector_col: str = "embedding") -> tuple[int, int]:
@@ -39,8 +41,15 @@ def check_vectors(units: DataFrame, vector_col: str = "embedding") -> tuple[int,
 
 
 def unit_matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit rows of a column of vectors; a null, ragged, non-finite or zero vector is an error that says so."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if column.null_count or (lengths != dim).any():
+        raise BadInput(f"every vector must have {dim} values")
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    if not (np.isfinite(norm) & (norm > 0)).all():
+        raise BadInput("a vector is zero or not finite")
+    return x / norm
 
 
 def _squared(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -55,15 +64,8 @@ def _vectors(units: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return units.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
 
 
-def mean_vector(rows: DataFrame, dim: int, n: int) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(dim, np.int64)
-        for b in batches:
-            total += np.rint(unit_matrix(b.column(1), dim) * _UNIT).astype(np.int64).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], names=["s"])
-
-    parts = [r.s for r in rows.mapInArrow(run, "s array<long>").collect()]  # one row of D numbers a partition
-    return np.array([sum(p[d] for p in parts) / n / _UNIT for d in range(dim)])
+def mean_vector(rows: DataFrame, dim: int) -> np.ndarray:
+    return _pass(rows, np.zeros((1, dim)), dim)[1][0]
 
 
 def farthest_point_centers(units: DataFrame, n_topics: int, id_col: str = "unit_id", vector_col: str = "embedding", existing: np.ndarray | None = None, dim: int | None = None, n: int | None = None) -> tuple[np.ndarray, list[int]]:
@@ -73,7 +75,7 @@ def farthest_point_centers(units: DataFrame, n_topics: int, id_col: str = "unit_
     if dim is None or n is None:
         n, dim = check_vectors(units, vector_col)
     chosen = np.zeros((0, dim)) if existing is None else np.asarray(existing, float)
-    mean = mean_vector(rows, dim, n)[None] if not len(chosen) else None
+    mean = mean_vector(rows, dim)[None] if not len(chosen) else None
     ids: list[int] = []
     while len(chosen) < n_topics:
         targets, taken = (mean if not len(chosen) else chosen), set(ids)
@@ -94,8 +96,7 @@ def farthest_point_centers(units: DataFrame, n_topics: int, id_col: str = "unit_
             if best:
                 yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.int64()), pa.array([best[2]], pa.list_(pa.float64()))], names=["d", "id", "v"])
 
-        found = rows.mapInArrow(run, "d double, id long, v array<double>").collect()  # one row a partition
-        far = min(found, key=lambda r: (-r.d, r.id))
+        far = rows.mapInArrow(run, "d double, id long, v array<double>").orderBy(F.desc("d"), "id").limit(1).collect()[0]
         if far.d <= 0:
             raise ClusteringFailed("n_topics cannot exceed the number of distinct document embeddings")
         ids.append(far.id)
@@ -120,26 +121,43 @@ class Fit:
 def _pass(rows: DataFrame, centers: np.ndarray, dim: int, by_cosine: bool = False, around: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts, exact coordinate sums and within sums of squares by nearest centre."""
     k = len(centers)
+    schema = "k int, n long, hi array<long>, lo array<long>"  # per centre: rows, and sums in two parts that can't overflow
+
+    def table(count: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> pa.RecordBatch:
+        lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (hi, lo)]
+        return pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(count), *lists], names=["k", "n", "hi", "lo"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, total, within = np.zeros(k, np.int64), np.zeros((k, dim), np.int64), np.zeros(k)
+        count, hi, lo = np.zeros(k, np.int64), np.zeros((k, dim + 1), np.int64), np.zeros((k, dim + 1), np.int64)
         for b in batches:
             x = unit_matrix(b.column(1), dim)
             for i in range(0, len(x), _BLOCK):
                 part = x[i : i + _BLOCK]
                 at = (part @ centers.T).argmax(1) if by_cosine else _squared(part, centers).argmin(1)
-                count += np.bincount(at, minlength=k)
-                np.add.at(total, at, np.rint(part * _UNIT).astype(np.int64))
-                within += np.bincount(at, weights=((part - (centers if around is None else around)[at]) ** 2).sum(1), minlength=k)
-        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(count), pa.array(total.tolist(), pa.list_(pa.int64())), pa.array(within)], names=["k", "n", "s", "w"])
+                apart = ((part - (centers if around is None else around)[at]) ** 2).sum(1)
+                order = np.argsort(at, kind="stable")
+                found, first, n = np.unique(at[order], return_index=True, return_counts=True)
+                sums = np.add.reduceat(np.rint(np.column_stack([part, apart])[order] * _UNIT).astype(np.int64), first, axis=0)
+                count[found] += n
+                hi[found] += sums >> 30
+                lo[found] += sums & _LOW
+        yield table(count, hi, lo)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, hi, lo = np.zeros(k, np.int64), np.zeros((k, dim + 1), np.int64), np.zeros((k, dim + 1), np.int64)
+        for b in batches:
+            at = b.column(0).to_numpy()
+            np.add.at(count, at, b.column(1).to_numpy())
+            for total, column in ((hi, b.column(2)), (lo, b.column(3))):
+                np.add.at(total, at, column.flatten().to_numpy().reshape(-1, dim + 1))
+        own = np.flatnonzero(count)
+        yield table(count, hi, lo).take(pa.array(own))
 
-    count, total, within = np.zeros(k, np.int64), [[0] * dim for _ in range(k)], np.zeros(k)
-    for r in rows.mapInArrow(run, "k int, n long, s array<long>, w double").orderBy("k", "n").collect():  # K x D numbers a partition
-        count[r.k] += r.n
-        within[r.k] += r.w
-        total[r.k] = [a + b for a, b in zip(total[r.k], r.s)]
-    means = np.array([[v / max(int(count[i]), 1) / _UNIT for v in total[i]] for i in range(k)])
-    return count, means, within
+    count, total = np.zeros(k, np.int64), [[0] * (dim + 1) for _ in range(k)]
+    for r in rows.mapInArrow(run, schema).repartition("k").mapInArrow(add, schema).collect():  # K rows of D numbers
+        count[r.k], total[r.k] = r.n, [(h << 30) + x for h, x in zip(r.hi, r.lo)]
+    means = np.array([[v / max(int(count[i]), 1) / _UNIT for v in total[i][:dim]] for i in range(k)])
+    return count, means, np.array([t[dim] / _UNIT for t in total])
 
 
 def lloyd(units: DataFrame, centers: np.ndarray, id_col: str = "unit_id", vector_col: str = "embedding", iter_max: int = 100, reorder: bool = True, fixed: bool = False) -> Fit:
@@ -147,7 +165,7 @@ def lloyd(units: DataFrame, centers: np.ndarray, id_col: str = "unit_id", vector
     centres as they are: rows go to the most similar one, and topics may stay empty."""
     n, dim = check_vectors(units, vector_col)
     rows = _vectors(units, id_col, vector_col)
-    mean = mean_vector(rows, dim, n)
+    mean = mean_vector(rows, dim)
     totss = float(_pass(rows, mean[None], dim)[2].sum())
     if fixed:
         centers = centers / np.linalg.norm(centers, axis=1, keepdims=True)
@@ -158,7 +176,7 @@ def lloyd(units: DataFrame, centers: np.ndarray, id_col: str = "unit_id", vector
         raise ClusteringFailed("initial centres are not distinct")
     converged, iterations = False, 0
     while iterations < iter_max:
-        count, means, _ = _pass(rows, centers, dim)
+        count, means, within = _pass(rows, centers, dim)
         iterations += 1
         if (count == 0).any():
             raise ClusteringFailed("a topic has no documents; use fewer topics")
@@ -169,7 +187,7 @@ def lloyd(units: DataFrame, centers: np.ndarray, id_col: str = "unit_id", vector
             break
     if not converged:
         warnings.warn(f"not converged after {iter_max} passes", NotConverged, stacklevel=2)
-    count, _, within = _pass(rows, centers, dim)
+        count, _, within = _pass(rows, centers, dim)  # else the last pass was about these centres
     if (count == 0).any():
         raise ClusteringFailed("a topic has no documents; use fewer topics")
     if reorder:

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from ..errors import BadInput
+from ..plans.store import materialize
 
 
 def term_counts(units: DataFrame, topic_col: str, tokens_col: str, min_term_frequency: int = 1) -> DataFrame:
     """topic, term, n: counts over the vocabulary of terms with at least ``min_term_frequency``
     occurrences in all. The explode is combined map-side, so (topic, term) pairs are shuffled,
-    not tokens."""
+    not tokens; the pairs are kept as a table, as all that follows is counted from them."""
     counts = units.select(F.col(topic_col).alias("topic"), F.explode(tokens_col).alias("term")).groupBy("topic", "term").agg(F.count("*").alias("n"))
-    return counts.withColumn("f", F.sum("n").over(Window.partitionBy("term"))).filter(F.col("f") >= min_term_frequency)
+    counts = counts.withColumn("f", F.sum("n").over(Window.partitionBy("term"))).filter(F.col("f") >= min_term_frequency)
+    return materialize(counts, "term-counts")
 
 
 def term_scores(units: DataFrame, topic_col: str = "topic", tokens_col: str = "tokens", n_topics: int | None = None, min_term_frequency: int = 1, weighting: str = "ctfidf", reduce_frequent_words: bool = False, smoothing: float = 0.0) -> DataFrame:

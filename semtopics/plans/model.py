@@ -11,7 +11,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import BadInput, BadTopicNames, NoEmbeddings, NoFittedModel
+from ..errors import BadInput, BadTopicNames, DimensionMismatch, NoEmbeddings, NoFittedModel
 from ..functions import text as tx
 from ..operators import cluster, corpus, evaluate, hierarchy, inference
 from ..operators import terms as term_ops
@@ -116,9 +116,17 @@ class TopicModel(Model):
             new = encode(new, "text", encoder)
         return self._transform(new).drop("embedding")
 
-    def terms(self, n: int = 10, sort_by: str = "score", **settings) -> DataFrame:
+    def terms(self, n: int = 10, sort_by: str = "score", stem: bool | None = None, **settings) -> DataFrame:
+        """Ranked terms; token settings and ``stem`` cut the texts into other tokens than the fit's."""
+        tokens = {k: settings.pop(k) for k in TOKEN_SETTINGS if k in settings}
+        units, fitted = self.assigned, self.corpus.settings
+        if tokens or stem is not None:
+            own = {k: v for k, v in fitted.items() if k in TOKEN_SETTINGS}
+            units = units.withColumn("tokens", tx.tokens("text", **(own | tokens)))
+            if fitted["stem"] if stem is None else stem:
+                units = term_ops.collapse_inflections(units, "unit_id")
         kept = {k: self.settings[k] for k in ("min_term_frequency", "weighting", "reduce_frequent_words")}
-        return inference.with_labels(term_ops.terms(self.assigned, n, sort_by, n_topics=self.n_topics, **(kept | settings)), self.labels)
+        return inference.with_labels(term_ops.terms(units, n, sort_by, n_topics=self.n_topics, **(kept | settings)), self.labels)
 
     def membership(self, df: DataFrame | None = None, id_col: str = "unit_id", sharpness: float = 1.15) -> DataFrame:
         return inference.membership(self.corpus.units if df is None else df, self.centers, id_col, sharpness=sharpness)
@@ -234,6 +242,10 @@ class TopicEstimator(Estimator):
         seeds = None if self.seeds is None else np.asarray(self.seeds, float)
         n_seeds = 0 if seeds is None else len(seeds)
         if seeds is not None:
+            if seeds.ndim != 2 or seeds.shape[1] != c.dim:
+                raise DimensionMismatch(f"seeds need {c.dim} values each")
+            if not np.isfinite(seeds).all() or (np.linalg.norm(seeds, axis=1) == 0).any():
+                raise BadInput("a seed is zero or not finite")
             seeds = seeds / np.linalg.norm(seeds, axis=1, keepdims=True)
         if n_seeds > self.n_topics or (self.fixed_seeds and n_seeds != self.n_topics):
             raise BadInput("fixed seeds need one seed per topic; otherwise at most n_topics seeds")

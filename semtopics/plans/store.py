@@ -1,8 +1,8 @@
 """Shared scratch storage that survives the loss of an executor.
 
 Everything written here goes to the folder that ``spark.checkpoint.dir`` names, so
-every executor can read it again. Only where that setting is missing (tests, a
-laptop) a local folder is chosen, once per session.
+every executor can read it again. Where that setting is missing, a local master (tests, a
+laptop) gets a folder of its own, once per session; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import BadInput
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -20,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise BadInput("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="semtopics-")
