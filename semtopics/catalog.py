@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions import vector as vec
-from .functions.words import ABBREVIATIONS, PLACEHOLDERS, STOP_WORDS_EN
+from .functions.words import ABBREVIATIONS, CLEANING, ENTITIES, PLACEHOLDERS, STOP_WORDS_EN
 from .operators import cluster, corpus, evaluate, hierarchy, inference, keywords, similarity
 from .operators import terms as term_ops
 from .operators.encode import encode
@@ -82,27 +82,12 @@ _R = "regexp_replace({0}, '{1}', '{2}', 'g')"
 
 
 def _chain(start: str) -> str:
+    """The character cleaning in SQL, from the same table of fixed values."""
     t = start
-    for a, b in (("&amp;", "&"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
-        t = f"replace({t}, '{a}', '{b}')"
-    for p, b in (
-        ("&#39;|&#8217;|&#8216;|&rsquo;|&lsquo;|&apos;", "''"),
-        ("</?[A-Za-z][^>]*>|<[A-Za-z]+/?>", " "),
-        (r"(?i)\b(?:https?://|www\.|doi:\s*)\S+", " "),
-        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", " "),
-        (r"\[[0-9][0-9,;\s-]*\]", " "),
-        (r"(?i)\bpp?\.\s*[0-9]+(?:\s*[-–]\s*[0-9]+)?", " "),
-        (r"[\x{2018}\x{2019}\x{201B}\x{2032}]", "''"),
-        (r"[\x{201C}\x{201D}]", '"'),
-        (r"[\x{2013}\x{2014}]", " - "),
-        (r"[\x{2022}\x{25CF}\x{25AA}\x{00B7}\x{2023}\x{2043}\x{2219}]", " "),
-        (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " "),
-        (r"[\x{200B}-\x{200D}\x{FEFF}\x{00AD}\x{FFFD}]", ""),
-        (r"\x{00A0}", " "),
-        (r"\s+", " "),
-        (r"^[ \t\r\n]+|[ \t\r\n]+$", ""),
-    ):
-        t = _R.format(t, p, b)
+    for entity, sign in ENTITIES:
+        t = f"replace({t}, '{entity}', '{sign}')"
+    for p, by in (*CLEANING, (r"\s+", " "), (r"^[ \t\r\n]+|[ \t\r\n]+$", "")):
+        t = _R.format(t, p.replace("{B}", r"\b").replace("'", "''"), by.replace("'", "''"))
     return t
 
 
@@ -488,6 +473,15 @@ def topic_model_summary(spark, sf_dir):
     return md.TopicEstimator(4).fit_corpus(_corpus(spark, sf_dir)).summary().withColumn("coherence", _r("coherence"))
 
 
+@query(
+    _CENTRE.replace("FROM e, k)", "FROM e, k), b AS (SELECT vec_id, topic FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, topic) AS r FROM d) WHERE r = 1), c AS (SELECT b.topic, i, avg(v[i]) AS m FROM b JOIN e USING (vec_id), range(1, 65) r(i) GROUP BY b.topic, i), u AS (SELECT e.vec_id, b.topic, v FROM e JOIN b USING (vec_id) JOIN documents ON doc_id = e.vec_id WHERE " + _USABLE.format(t=_T) + ")")
+    + "SELECT CAST(topic AS INTEGER) AS topic, count(*) AS n_documents, round(count(*) / (SELECT count(*) FROM u), 6) AS proportion FROM u GROUP BY topic"
+)
+def seeded_sizes(spark, sf_dir):
+    """Sizes of the topics of fixed seeds, by most similar label mean."""
+    return seeded_topics(spark, sf_dir).select("topic", "n_documents", _r("proportion").alias("proportion"))
+
+
 @query()
 def seeded_topics(spark, sf_dir):
     """Fixed seeds: every vector goes to the most similar label mean; topics are not renumbered."""
@@ -526,7 +520,10 @@ def encoded_titles(spark, sf_dir):
     return e.select("ut", F.posexplode("embedding").alias("dim", "value")).withColumn("value", _r("value"))
 
 
-@query()
+@query(
+    "WITH a AS (SELECT document_id, topic, topic_label, count(*) OVER (PARTITION BY topic) AS n, row_number() OVER (PARTITION BY topic ORDER BY document_id) AS r, count(*) OVER () AS t FROM document_assignments WHERE topic IS NOT NULL AND document_id IS NOT NULL), "
+    "q AS (SELECT *, least(greatest(2, CAST(round(1000 * n / t) AS INTEGER)), n) AS q FROM a) SELECT document_id, topic, topic_label FROM q WHERE r * q // n > (r - 1) * q // n"
+)
 def topic_map_points(spark, sf_dir):
     """Evenly thinned points of every stored topic for a map (a report of bounded size)."""
     a = _read(spark, sf_dir, "document_assignments").filter("topic is not null and document_id is not null").select("document_id", "topic", "topic_label")

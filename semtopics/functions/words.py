@@ -29,6 +29,31 @@ BREAK_BEFORE = (
 PLACEHOLDERS = ["[NO ABSTRACT AVAILABLE]", "NO ABSTRACT AVAILABLE", "NA", "NULL"]
 
 
+#: Entities and the signs they stand for, in the order they are replaced.
+ENTITIES = (("&amp;", "&"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'))
+
+#: Patterns of the character cleaning and what takes their place, in order; results depend
+#: on both. ``{B}`` is the start of a word in ASCII.
+CLEANING = (
+    (r"&#39;|&#8217;|&#8216;|&rsquo;|&lsquo;|&apos;", "'"),
+    (r"</?[A-Za-z][^>]*>|<[A-Za-z]+/?>", " "),
+    (r"(?i){B}(?:https?://|www\.|doi:\s*)\S+", " "),
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", " "),
+    (r"\[[0-9][0-9,;\s-]*\]", " "),
+    (r"(?i){B}pp?\.\s*[0-9]+(?:\s*[-\x{2013}]\s*[0-9]+)?", " "),
+    (r"[\x{2018}\x{2019}\x{201B}\x{2032}]", "'"),
+    (r"[\x{201C}\x{201D}]", '"'),
+    (r"[\x{2013}\x{2014}]", " - "),
+    (r"[\x{2022}\x{25CF}\x{25AA}\x{00B7}\x{2023}\x{2043}\x{2219}]", " "),
+    (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " "),
+    (r"[\x{200B}-\x{200D}\x{FEFF}\x{00AD}\x{FFFD}]", ""),
+    (r"\x{00A0}", " "),
+)
+
+#: Signs between a list number and the break before it, and signs that are such a break.
+MARKER_SKIPS, MARKER_BREAKS = " \t\r\n\"'(", ".:;!?"
+
+
 def roman(n: int) -> str:
     """Canonical lower-case Roman numeral."""
     out = ""
