@@ -105,3 +105,39 @@ def test_clean_corpus_and_segment(spark):
 
 def test_usable(column):
     assert column(tx.usable, ["x", " ", None, "[no abstract available]", "na", "Null"]) == [True, False, False, False, False, False]
+
+
+def test_chop_against_plain_search():
+    import random
+
+    from semtopics.functions.segments import BREAK_BEFORE, chop
+
+    def plain(words, cap):
+        out = []
+        while len(words) > cap:
+            back = [cap - k for k in range(max(1, int(0.25 * cap))) if cap - k >= 1 and words[cap - k].strip("\"'(),.;:").lower() in BREAK_BEFORE]
+            cut = back[0] if back else cap
+            out.append(" ".join(words[:cut]))
+            words = words[cut:]
+        return [*out, " ".join(words)]
+
+    rng = random.Random(1)
+    for _ in range(500):
+        words = [rng.choice(["and", "of", "cat", "dog", "(the", "sun,"]) for _ in range(rng.randint(1, 40))]
+        cap = rng.randint(1, 12)
+        assert chop(words, cap) == plain(words, cap)
+    assert chop(["aaaa", "bb", "c"], 3, [4, 2, 1]) == ["aaaa", "bb c"]
+
+
+def test_vectors_are_checked():
+    import pyarrow as pa
+    import pytest
+
+    from semtopics.errors import BadInput
+    from semtopics.operators.cluster import unit_matrix
+
+    kind = pa.list_(pa.float64())
+    assert unit_matrix(pa.array([[3.0, 4.0]], kind), 2).tolist() == [[0.6, 0.8]]
+    for bad in ([[1.0, 2.0], None], [[1.0]], [[0.0, 0.0]], [[1.0, float("nan")]]):
+        with pytest.raises(BadInput):
+            unit_matrix(pa.array(bad, kind), 2)
