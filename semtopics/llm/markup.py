@@ -6,9 +6,12 @@ their marks. Over the whole collection the text length, punctuation and markup l
 path are added up, text and punctuation ratios are smoothed along the path (a path shares the
 figures of its parent with all below it) and fused into one score, and paths above a threshold
 are content; their text makes up the clean text, in which headings, lists, code, tables and
-formulas are written in one plain style. Scripts, comments, keys, footnotes and arguments hold
-no text, as attributes do not. A record's kinds of markup are the notations that this takes away:
-of every piece that lost marks, or whose path is not content.
+formulas are written in one plain style. The text ratio is the geometric mean of a path's and its
+parent's, so that plain text elsewhere, however much, can't make up for a path of marks; names
+and layout of tags and commands have no length, so that cells and headings aren't lost for them.
+Scripts, comments, keys, footnotes and arguments hold no text, as attributes do not. A record's
+kinds of markup are the notations that this takes away: of every piece that lost marks, or whose
+path is not content.
 
 Plan: one Arrow pass parses each record once into pieces (path, output, sums), kept as a table;
 sums are added up per path in the JVM (113 paths on sf0.1; a name that comes again folds its path,
@@ -92,6 +95,9 @@ _VOID = set("br hr img input link meta".split())
 #: Elements that end an open one: tag -> (tags it ends, tags it does not look beyond).
 _CLOSES = {"li": (("li",), ("ul", "ol")), "p": (("p",), ("div", "td", "th", "li", "section", "blockquote")), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")), "tr": (("tr",), ("table",)), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",))}
 _CODE_SPAN = re.compile(r"((?:<pre\b.*?</pre>|<code\b.*?</code>|```.*?```))", re.S | re.I)
+#: Addresses in tags. A tag counts as one character of markup and those of its addresses: its name and
+#: layout (style, class, width) say nothing of the text it holds.
+_ADDRESS = re.compile(r"(?i)\s(?:xlink:)?(?:href|src|action|cite)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _ESCAPED_TAG = re.compile(_TAG.replace("<", "&lt;", 1).replace("[^<>]*", "(?:(?!&[lg]t;)[^<>])*").removesuffix(">") + "&gt;", re.I)
 _TWICE = re.compile(r"&amp;(#?\w{2,31};)")
 
@@ -160,13 +166,14 @@ def _below(path: str, name: str) -> str:
 def walk(text: str, path: str = "text", depth: int = 0, cell: bool = False) -> Iterator[tuple[str, str, int, int]]:
     """(path, output, characters of text, characters of markup) of a text in order. A path runs
     from the root over all open nodes (``text/html:ul/html:li/markdown:strong``) and owns
-    the text between their marks. Line breaks and list signs that replace marks count as no text."""
+    the text between their marks. Line breaks and list signs that replace marks count as no text,
+    nor do blanks between marks. A tag or a mark of LaTeX counts as one, and an address in it by length."""
     at, stack = 0, [(None, path)]
     # a construct's text can't hold the construct itself, so the grammar ends the nesting long before
     again = (lambda x, p, cell=False: walk(x, p, depth + 1, cell)) if depth < 100 else (lambda x, p, cell=False: [(p, x, len(x), 0)])
 
     def own(x: str, m: int = 0, p: str | None = None):
-        return (p or stack[-1][1], x, len(x), m)
+        return (p or stack[-1][1], x, len(x) if x.strip() else 0, m)
 
     for start, end, name, inner in nodes(text):
         if start < at or (cell and name.split("/")[1] in _BLOCKS):  # a cell holds no lists or headings
@@ -176,9 +183,9 @@ def walk(text: str, path: str = "text", depth: int = 0, cell: bool = False) -> I
         at = end
         leaf = name.split("/")[1]
         child = _below(stack[-1][1], name.replace("/", ":"))
-        m = end - start - len(inner)
+        m = 2 if name.startswith(("html/", "latex/")) else end - start - len(inner)
         if name.startswith("html/") and name != "html/entity" and inner == text[start:end]:  # a tag
-            m = end - start
+            m = 1 + sum(map(len, _ADDRESS.findall(inner)))
             line = leaf in _LINES or bool(re.fullmatch(r"h[1-6]", leaf))
             if inner.startswith("</"):
                 if leaf in ("td", "th"):
@@ -272,7 +279,8 @@ def content_paths(stats: list[tuple[str, int, int, int, int]], threshold: float
     """Which paths are content: text share and punctuation density of the text a path owns,
     each smoothed with the figures of its parent (with all that is below the parent), fused by
     their geometric mean and compared with the threshold (a share of what the collection's text
-    would score without markup). Nothing else decides."""
+    would score without markup). A path that owns no text only breaks lines or sets list signs,
+    and is content if a path below it is. Nothing else decides."""
     rows = {p: (t, q, m) for p, _, t, q, m in stats}
     below: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
     for p, figures in rows.items():
@@ -283,12 +291,16 @@ def content_paths(stats: list[tuple[str, int, int, int, int]], threshold: float
 
     def score(own, parent) -> float:
         (t, q, m), (pt, pq, pm) = own, parent
-        text_ratio = 0.8 * t / max(1, t + m) + 0.2 * pt / max(1, pt + pm)
+        # a product: in a sum the parent's share alone lifts every path of a prose collection over the threshold
+        text_ratio = (t / max(1, t + m) * pt / max(1, pt + pm)) ** 0.5
         punct_ratio = 0.8 * q / max(1, t) + 0.2 * pq / max(1, pt)
         return (text_ratio * (0.02 + punct_ratio)) ** 0.5
 
     base = (0.02 + below["text"][1] / max(1, below["text"][0])) ** 0.5
-    return {p: score(rows[p], below[p.rpartition("/")[0] or p]) >= threshold * base for p in rows}
+    parent = {p: below[p.rpartition("/")[0]] if "/" in p else (*below[p][:2], 0) for p in rows}  # no marks around the root
+    content = {p for p in rows if rows[p][0] and score(rows[p], parent[p]) >= threshold * base}
+    holds = {p[:k] for p in content for k in range(len(p)) if p[k] == "/"}
+    return {p: p in content or (not rows[p][0] and p in holds) for p in rows}
 
 
 _PIECE = "struct<path:string,out:string,t:int,q:int,m:int>"
@@ -324,7 +336,8 @@ def clean_markup(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sums = plain.unionByName(marked).groupBy("path").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "tqm"])
     content = [p for p, ok in sorted(content_paths([tuple(r) for r in sums.collect()]).items()) if ok]  # one row per path of the grammar
     kept = lambda p: p["path"].isin(content)
-    clean = F.array_join(F.transform(F.filter("pieces", kept), lambda p: p["out"]), "")
+    shown = lambda p: kept(p) | ((p["t"] == 0) & (p["out"] != "\n- "))  # noqa: E731  blanks and breaks part words everywhere
+    clean = F.array_join(F.transform(F.filter("pieces", shown), lambda p: p["out"]), "")
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(clean, r"\n{3,}", "\n\n"), r"[ \t]+\n", "\n"), r"(?U)^\s+|\s+$", "")
     taken = F.filter("pieces", lambda p: (p["path"] != "text") & ((p["m"] > 0) | ~kept(p)))
     kinds = F.array_sort(F.array_distinct(F.transform(taken, lambda p: F.regexp_extract(p["path"], r"([a-z]+):[^/]*$", 1))))
